@@ -206,3 +206,62 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "q_id",
     if group:
         ranked = ranked.withColumnRenamed("grp", group)
     return ranked
+
+
+def _cell_stars(ids_a, ma, ids_b, mb, radius):
+    """Connected components of the radius graph inside one block pair, as
+    (node, representative) star edges: at most |a| + |b| rows, never the
+    pairs themselves."""
+    if len(ids_a) == 0 or len(ids_b) == 0:
+        return [], []
+    d = (ma * ma).sum(1)[:, None] + (mb * mb).sum(1)[None, :] - 2.0 * ma @ mb.T
+    adj = d <= radius + 1e-9
+    # exact re-check of the borderline entries
+    border = np.abs(d - radius) <= 1e-6
+    if border.any():
+        for i, j in zip(*np.nonzero(border)):
+            adj[i, j] = _seq_sum(((ma[i] - mb[j]) ** 2)[None, :])[0] <= radius
+    la = ids_a.astype(np.int64).copy()
+    lb = ids_b.astype(np.int64).copy()
+    big = np.iinfo(np.int64).max
+    while True:
+        nb = np.minimum(lb, np.where(adj, la[:, None], big).min(0))
+        na = np.minimum(la, np.where(adj, nb[None, :], big).min(1))
+        if np.array_equal(na, la) and np.array_equal(nb, lb):
+            break
+        la, lb = na, nb
+    has_a = adj.any(1)
+    has_b = adj.any(0)
+    nodes = np.concatenate([ids_a[has_a], ids_b[has_b]])
+    reps = np.concatenate([la[has_a], lb[has_b]])
+    keep = nodes != reps
+    return nodes[keep].tolist(), reps[keep].tolist()
+
+
+def radius_components_edges(vectors: DataFrame, radius: float, *, id_col: str, vec_col: str,
+                            block: int = 4096) -> DataFrame:
+    """Star edges ``(src, dst)`` whose connected components equal those of
+    the graph linking vectors within squared L2 ``radius``. Vectors are
+    hashed into blocks; every block pair is one cogroup cell that emits only
+    a spanning star per local component, so output stays linear per cell."""
+    vs = vectors.select(F.col(id_col).cast("long").alias("id"),
+                        F.col(vec_col).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    n = vs.count()
+    nb = max(1, math.ceil(n / block))
+    a = vs.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nb))).withColumn(
+        "bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    b = vs.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(nb))).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    schema = "src long, dst long"
+
+    def cell(pa_df: pd.DataFrame, pb_df: pd.DataFrame) -> pd.DataFrame:
+        if len(pa_df) == 0 or len(pb_df) == 0:
+            return pd.DataFrame({"src": [], "dst": []})
+        ma = np.stack(pa_df["v"].to_numpy()).astype(np.float64)
+        mb = np.stack(pb_df["v"].to_numpy()).astype(np.float64)
+        s, d = _cell_stars(pa_df["id"].to_numpy(dtype=np.int64), ma,
+                           pb_df["id"].to_numpy(dtype=np.int64), mb, radius)
+        return pd.DataFrame({"src": s, "dst": d}, dtype="int64")
+
+    return (a.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(cell, schema)
+            .distinct())
