@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.text import ustrip
+
 # ---------------------------------------------------------------------------
 # undirected graphs: nodes(id, label), edges(src, dst) with src <= dst
 
@@ -25,8 +27,11 @@ def table_to_graph(pairs: DataFrame, order_cols: list[str]):
     return nodes, edges
 
 
-# Capitalised words (and all-caps acronyms) stand in for named entities.
-ENTITY_PATTERN = r"\b\p{Lu}[\p{L}\p{N}]+\b"
+def entity_tokens(c: Column) -> Column:
+    """Entities (no NER model offline): letter/digit runs of 2+ chars that
+    start with a capital letter, in text order."""
+    return F.filter(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), 0),
+                    lambda t: t.rlike(r"^\p{Lu}") & (F.length(t) >= 2))
 
 
 def entity_chain_graph(docs: DataFrame, text_col: str):
@@ -34,7 +39,7 @@ def entity_chain_graph(docs: DataFrame, text_col: str):
     model offline). Node label: ACRONYM (all capitals) or NAME; texts with
     fewer than two entities add nothing. Built inside each row, then
     de-duplicated."""
-    ents = F.regexp_extract_all(F.col(text_col), F.lit(ENTITY_PATTERN), 0)
+    ents = entity_tokens(F.col(text_col))
     d = docs.select(ents.alias("e"))
     pairs = d.select(F.explode(F.when(F.size("e") >= 2, F.arrays_zip(
         F.slice("e", 1, F.size("e") - 1).alias("a"), F.slice("e", 2, F.size("e")).alias("b")))
@@ -103,7 +108,7 @@ _EDGE = r"\(\s*(\w+)\s*\)\s*-\s*\[\s*:\s*(\w+)[^\]]*\]\s*->\s*\(\s*(\w+)\s*\)"
 def split_statements(scripts: DataFrame, script_col: str, id_col: str) -> DataFrame:
     """Script -> ``(id, stmt_no, stmt)``: split on ``;``, trimmed, empties
     dropped, numbered from 1 in order (within the row)."""
-    parts = F.filter(F.transform(F.split(F.col(script_col), ";"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.col(script_col), ";"), ustrip), lambda s: s != "")
     return scripts.select(id_col, F.posexplode(parts).alias("i", "stmt")).select(
         id_col, (F.col("i") + 1).alias("stmt_no"), "stmt")
 
