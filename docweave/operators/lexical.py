@@ -101,8 +101,10 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, *, l_id: str, l_text: st
     with ratio >= threshold is among them); (3) candidates are verified with
     Levenshtein in the JVM."""
     t = threshold
-    L = left.select(F.col(l_id).alias("lid"), F.col(l_text).alias("ls"))
-    R = right.select(F.col(r_id).alias("rid"), F.col(r_text).alias("rs"))
+    # both inputs are read several times below: materialise the two narrow
+    # projections once in the shared checkpoint folder (cuts lineage too)
+    L = left.select(F.col(l_id).alias("lid"), F.col(l_text).alias("ls")).checkpoint(eager=True)
+    R = right.select(F.col(r_id).alias("rid"), F.col(r_text).alias("rs")).checkpoint(eager=True)
     # distinct right strings with their two lowest ids
     rdist = R.groupBy("rs").agg(F.min("rid").alias("r1"))
     r2 = (R.join(rdist.select("rs", "r1"), "rs").filter(F.col("rid") != F.col("r1"))
@@ -142,12 +144,17 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, *, l_id: str, l_text: st
         "ls", F.explode(F.sequence(F.ceil(F.length("ls") * t - 1e-9).cast("int"),
                                    F.floor(F.length("ls") / t + 1e-9).cast("int"))).alias("len"))
     rl = rdist.select("rs", F.length("rs").alias("len"))
-    cand = (cut(lg, "ls").join(cut(rg, "rs"), "g").select("ls", "rs")
+    # a match needs t * max(len) <= min(len): a cheap band check on each
+    # candidate before de-duplication
+    band = F.least(F.length("ls"), F.length("rs")) >= F.greatest(F.length("ls"), F.length("rs")) * t - 1e-9
+    cand = (cut(lg, "ls").join(cut(rg, "rs"), "g").select("ls", "rs").filter(band)
             .unionByName(ldist.join(rdist.select("rs"), ldist["ls"] == rdist["rs"]).select("ls", "rs"))
             .unionByName(lw.join(rl, "len").select("ls", "rs"))
-            .distinct())
-    scored = (cand.withColumn("ratio", fuzzy_ratio(F.col("ls"), F.col("rs")))
-              .filter(F.col("ratio") >= t).join(rdist, "rs"))
+            .groupBy("ls", "rs").agg(F.count(F.lit(1)).alias("hits")))
+    # the score refers to the aggregate output, so the optimizer cannot push
+    # the (expensive) Levenshtein filter below the de-duplication
+    scored = (cand.withColumn("ratio", F.when(F.col("hits") > 0, fuzzy_ratio(F.col("ls"), F.col("rs"))))
+              .filter(F.col("ratio") >= t).drop("hits").join(rdist, "rs"))
     # per left row: identical strings may need the second-lowest id
     per_left = L.join(scored, "ls")
     per_left = per_left.withColumn(
