@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docweave.functions import vectors as V
 from docweave.operators import lexical as LX
 from docweave.operators import retrieve as R
+from docweave.session import reliable_checkpoint
 
 
 def expected_answers(df: DataFrame, q_col: str, a_col: str, order_col: str) -> DataFrame:
@@ -38,7 +39,7 @@ def evaluate_answers(log: DataFrame, expected: DataFrame, embedder: PipelineMode
     dropped; the expected answer comes from the best semantic match of the
     question (cosine >= ``semantic_threshold``, else ``""``); then BLEU,
     ROUGE-L and cosine(response, expected); nulls become ``""``."""
-    flagged = fuzzy_flags(log, expected, fuzzy_threshold).filter(F.col("matched")).checkpoint(eager=True)
+    flagged = reliable_checkpoint(fuzzy_flags(log, expected, fuzzy_threshold).filter(F.col("matched")))
     q_vec = R.embed_text(embedder, flagged, "question", "q_vec")
     e = expected.select(F.xxhash64("question").alias("eid"), "question", "expected")
     e_vec = R.embed_text(embedder, e, "question", "e_vec")

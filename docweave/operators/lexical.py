@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.plans.ordering import dense_index
+from docweave.session import reliable_checkpoint
 
 _WS_SPLIT = rf"{tx.WS}+"
 
@@ -103,8 +104,8 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, *, l_id: str, l_text: st
     t = threshold
     # both inputs are read several times below: materialise the two narrow
     # projections once in the shared checkpoint folder (cuts lineage too)
-    L = left.select(F.col(l_id).alias("lid"), F.col(l_text).alias("ls")).checkpoint(eager=True)
-    R = right.select(F.col(r_id).alias("rid"), F.col(r_text).alias("rs")).checkpoint(eager=True)
+    L = reliable_checkpoint(left.select(F.col(l_id).alias("lid"), F.col(l_text).alias("ls")))
+    R = reliable_checkpoint(right.select(F.col(r_id).alias("rid"), F.col(r_text).alias("rs")))
     # distinct right strings with their two lowest ids
     rdist = R.groupBy("rs").agg(F.min("rid").alias("r1"))
     r2 = (R.join(rdist.select("rs", "r1"), "rs").filter(F.col("rid") != F.col("r1"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as tx
 from docweave.operators.retrieve import document_vector
 from docweave.plans.topk import knn, radius_components_edges
+from docweave.session import reliable_checkpoint
 
 
 def tfidf_vectors(weights: DataFrame, id_col: str, vocab: DataFrame,
@@ -109,7 +110,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 100
         prop = (e.join(labels, e["src"] == labels["id"]).select(F.col("dst").alias("id"), "comp")
                 .unionByName(labels).groupBy("id").agg(F.min("comp").alias("comp")))
         if (it + 1) % checkpoint_every == 0:
-            prop = prop.checkpoint(eager=True)
+            prop = reliable_checkpoint(prop)
         changed = prop.join(labels.withColumnRenamed("comp", "old"), "id").filter(
             F.col("comp") != F.col("old")).limit(1).count()
         labels = prop

@@ -9,6 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from docweave.session import reliable_checkpoint
 
 
 def dense_index(df: DataFrame, order_col: str, out: str, num_partitions: int | None = None) -> DataFrame:
@@ -32,7 +33,7 @@ def dense_index(df: DataFrame, order_col: str, out: str, num_partitions: int | N
 
     # materialise once in the shared checkpoint folder: both uses below see
     # the same range bounds, and a lost executor re-reads rather than re-samples
-    numbered = ranged.mapInArrow(number, schema).checkpoint(eager=True)
+    numbered = reliable_checkpoint(ranged.mapInArrow(number, schema))
     # one row per partition: a proven-small table, safe to broadcast
     offsets = (numbered.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
                .withColumn("__off", F.coalesce(F.sum("__n").over(

@@ -44,14 +44,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the operator sets it to a shared file system; we only pick a
     local folder when it is unset (tests, local bench)."""
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        current = sc.getCheckpointDir()
+        if current:
+            return os.path.dirname(current.rstrip("/"))
         d = tempfile.mkdtemp(prefix="docweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Eager checkpoint into the shared checkpoint folder (never a
+    machine-local one): cuts lineage and survives executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
