@@ -9,7 +9,7 @@ from docweave.operators import chunk as C
 from docweave.operators import html as H
 from docweave.operators import retrieve as R
 from docweave.registry.sqlfrag import cosine, sq_l2
-from docweave.session import table
+from docweave.session import reliable_checkpoint, table
 
 
 def _emb(spark, sf):
@@ -32,8 +32,11 @@ def page_chunks(spark, sf, size=500):
 
 
 def rag_prompts(spark, sf, k=4):
-    """Flagship: every user question -> top-k page chunks -> prompt."""
-    chunks = page_chunks(spark, sf)
+    """Flagship: every user question -> top-k page chunks -> prompt. The
+    chunk table (one HTML parse pass) is written once to the shared
+    checkpoint folder: the embedder fit, the index and the context join all
+    read it, as a persisted index would be."""
+    chunks = reliable_checkpoint(page_chunks(spark, sf))
     model = R.fit_embedder(chunks, "chunk")
     chunk_vecs = R.embed_text(model, chunks, "chunk", "embedding")
     questions = (table(spark, sf, "conversations").filter(F.col("role") == "user")

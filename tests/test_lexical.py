@@ -83,3 +83,11 @@ def test_sentence_overlap_topk(spark):
                                "t string, q string")
     out = df.select(LX.sentence_overlap_topk(F.col("t"), F.col("q"), 2)).first()[0]
     assert out.split("\n") == ["Cats eat fish.", "Dogs eat meat."]
+
+
+def test_bleu_udf_equals_relational(spark, sf):
+    from docweave.registry.lexical import eval_pairs
+    p = eval_pairs(spark, sf)
+    a = {r.doc_id: round(r.bleu, 9) for r in LX.bleu(p, "doc_id", "reference", "candidate").collect()}
+    b = {r.doc_id: round(r.bleu, 9) for r in LX.bleu_relational(p, "doc_id", "reference", "candidate").collect()}
+    assert a == b
