@@ -130,6 +130,14 @@ def fix_punctuation_spacing(c: Column) -> Column:
     return F.regexp_replace(c, rf"([.,!?])(?={WORD})", "$1 ")
 
 
+def has_min_words(c: Column, n: int) -> Column:
+    """``len(s.split()) >= n`` as one anchored regex test (no split)."""
+    if n <= 0:
+        return F.lit(True)
+    nonws = WS.replace("[", "[^", 1)
+    return F.coalesce(c.rlike(rf"^{WS}*(?:{nonws}+{WS}+){{{n - 1}}}{nonws}"), F.lit(False))
+
+
 def word_count(c: Column) -> Column:
     """``len(s.split())``: number of whitespace-separated words."""
     s = ustrip(c)
@@ -142,7 +150,7 @@ def drop_filler_sentences(c: Column, min_words: int = 5) -> Column:
     splitter.)"""
     kept = F.filter(
         F.transform(split_sentences(c), ustrip),
-        lambda s: (word_count(s) >= min_words) & ~F.lower(s).startswith("did you know"),
+        lambda s: has_min_words(s, min_words) & ~F.lower(s).startswith("did you know"),
     )
     return F.array_join(kept, "\n")
 
@@ -196,10 +204,10 @@ def tokens(c: Column) -> Column:
 
 def content_tokens(c: Column) -> Column:
     """Alphanumeric, non-stop-word lower-case tokens."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    # isin over many literals is planned as a hash-set lookup (InSet)
     return F.filter(
         F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), 0),
-        lambda t: ~F.array_contains(stop, t),
+        lambda t: ~t.isin(*STOP_WORDS),
     )
 
 
@@ -211,7 +219,8 @@ def keyword_head(c: Column, top_n: int = 3) -> Column:
 def nav_match(c: Column, full: bool = False) -> Column:
     """True when the text contains any navigation pattern."""
     pats = NAV_PATTERNS_FULL if full else NAV_PATTERNS
-    return F.coalesce(c.rlike("(?iU)" + _alt(pats).replace(r"\s", WS)), F.lit(False))
+    # no \w or \b in these patterns: Unicode case folding (?iu) is enough
+    return F.coalesce(c.rlike("(?iu)" + _alt(pats).replace(r"\s", WS)), F.lit(False))
 
 
 def body_slice(html: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from docweave.functions import text as tx
 from docweave.functions.html_parse import PAGE_SCHEMA, parse_page
+from docweave.plans.parallel import spread
 
 _STR_LIST = pa.list_(pa.string())
 _ARROW_FIELDS = [
@@ -34,7 +35,7 @@ def parse_pages(pages: DataFrame, html_col: str = "html", keep: list[str] | None
     ``keep`` columns pass through. ``body_only`` parses only the text between
     ``<body>`` and ``</body>`` (the page loader of the first generation)."""
     keep = keep if keep is not None else [c for c in pages.columns if c != html_col]
-    src = pages.select(*keep, (tx.body_slice(F.col(html_col)) if body_only
+    src = spread(pages).select(*keep, (tx.body_slice(F.col(html_col)) if body_only
                                else F.col(html_col)).alias("__html"))
     keep_schema = src.select(*keep).schema
     out_schema = T.StructType(keep_schema.fields + T._parse_datatype_string(PAGE_SCHEMA).fields)

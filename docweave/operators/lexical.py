@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.plans.ordering import dense_index
+from docweave.plans.parallel import spread
 from docweave.session import reliable_checkpoint
 
 _WS_SPLIT = rf"{tx.WS}+"
@@ -38,8 +39,7 @@ def sentence_overlap_topk(text: Column, question: Column, top_k: int = 5) -> Col
 
 def vocab_tokens(text: Column) -> Column:
     """Vectorizer tokens: lower-case word runs of 2+ chars, stop words out."""
-    stop = F.array(*[F.lit(w) for w in tx.STOP_WORDS])
-    return F.filter(tx.tokens(text), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    return F.filter(tx.tokens(text), lambda t: (F.length(t) >= 2) & ~t.isin(*tx.STOP_WORDS))
 
 
 def top_terms(docs: DataFrame, text_col: str, n: int = 50) -> DataFrame:
@@ -194,7 +194,7 @@ def bleu(pairs: DataFrame, key: str, ref_col: str, cand_col: str, max_n: int = 4
     @F.pandas_udf("double")
     def _bleu(r: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series([bleu_reference(x or "", y or "", max_n) for x, y in zip(r, c)], dtype="float64")
-    return pairs.select(key, _bleu(F.col(ref_col), F.col(cand_col)).alias("bleu"))
+    return spread(pairs).select(key, _bleu(F.col(ref_col), F.col(cand_col)).alias("bleu"))
 
 
 def bleu_relational(pairs: DataFrame, key: str, ref_col: str, cand_col: str, max_n: int = 4) -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from docweave.plans.parallel import spread
+
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 Q_BLOCK = 4096
 B_BLOCK = 65536
@@ -164,7 +166,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "q_id",
                 yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(
                     [pa.field(f.name, a.type) for f, a in zip(cand_schema.fields, arrays)]))
 
-        cands = bs.mapInArrow(run, cand_schema)
+        cands = spread(bs).mapInArrow(run, cand_schema)
     else:
         n_b = bs.count()
         nq_blocks = max(1, math.ceil(n_q / Q_BLOCK))

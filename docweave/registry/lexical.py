@@ -8,6 +8,7 @@ from docweave.functions import text as tx
 from docweave.operators import lexical as LX
 from docweave.registry.chat import messages
 from docweave.registry.sqlfrag import WORD, WS, sql_list
+from docweave.plans.parallel import spread
 from docweave.session import table
 
 
@@ -60,7 +61,7 @@ def q_fuzzy_best_match(spark, sf):
 def eval_pairs(spark, sf):
     """(reference, candidate) pairs: each document against its cleaned form
     (filler sentences dropped)."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     return d.select("doc_id", F.col("text").alias("reference"),
                     tx.drop_filler_sentences(F.col("text")).alias("candidate"))
 

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.registry.sqlfrag import WORD, WS, normalize_ws, sql_list, ustrip
+from docweave.plans.parallel import spread
 from docweave.session import table
 
 LINE_BREAK = r"\r\n|[\n\r\x{0B}\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    # regex chains are CPU-bound per row: use every core on small inputs
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def _col_query(fn, name="out"):

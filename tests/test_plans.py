@@ -7,7 +7,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-NATIVE = ["normalize_whitespace", "search_pairs", "delete_pair", "bleu", "tfidf_weights",
+NATIVE = ["normalize_whitespace", "search_pairs", "delete_pair", "top_terms", "tfidf_weights",
           "html_body_slice", "suffix_lookup", "table_to_graph", "conversation_text", "cosine_pair"]
 
 
