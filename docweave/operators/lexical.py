@@ -67,18 +67,26 @@ def tfidf_weights(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame)
             .select(id_col, "term", (F.col("w") / F.col("nrm")).alias("weight")))
 
 
+def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, term, count)`` of content tokens (partial aggregation)."""
+    return (docs.select(id_col, F.explode(tx.content_tokens(F.col(text_col))).alias("term"))
+            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("count")))
+
+
+def dictionary_of(terms: DataFrame) -> DataFrame:
+    """Distinct terms -> dense 0-based ids in term order (computed per range
+    partition, no single-task window)."""
+    return dense_index(terms.select("term").distinct(), "term", "term_id")
+
+
 def term_dictionary(docs: DataFrame, text_col: str) -> DataFrame:
-    """Distinct content tokens -> dense 0-based ids in term order (computed
-    per range partition, no single-task window)."""
-    terms = docs.select(F.explode(tx.content_tokens(F.col(text_col))).alias("term")).distinct()
-    return dense_index(terms, "term", "term_id")
+    """Distinct content tokens -> dense ids in term order."""
+    return dictionary_of(docs.select(F.explode(tx.content_tokens(F.col(text_col))).alias("term")))
 
 
-def bag_of_words(docs: DataFrame, id_col: str, text_col: str, dictionary: DataFrame) -> DataFrame:
-    """``(id, term_id, count)`` for every dictionary term of each document."""
-    return (docs.select(id_col, F.explode(tx.content_tokens(F.col(text_col))).alias("term"))
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("count"))
-            .join(dictionary, "term").select(id_col, "term_id", "count"))
+def bag_of_words(counts: DataFrame, id_col: str, dictionary: DataFrame) -> DataFrame:
+    """``(id, term_id, count)`` from ``term_counts`` and a dictionary."""
+    return counts.join(dictionary, "term").select(id_col, "term_id", "count")
 
 
 # -- fuzzy matching ------------------------------------------------------------------

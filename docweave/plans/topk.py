@@ -61,42 +61,58 @@ def _exact(q: np.ndarray, vecs: np.ndarray, metric: str) -> np.ndarray:
     return -np.where(den == 0, 0.0, dotp / np.where(den == 0, 1.0, den))
 
 
-def _partial_topk(qm, qids, bm, bids, k, metric, exclude_self, qgroups=None, bgroups=None):
-    """Candidate (q_id, b_id, score) rows: per query (and group) the best
-    ``k`` of this block, re-scored exactly."""
+def _exact_rows(q: np.ndarray, vecs: np.ndarray, metric: str) -> np.ndarray:
+    """Exact scores of candidate vectors ``vecs`` (Q x K x D) for queries
+    ``q`` (Q x D), summed left to right over dimensions."""
+    if metric == "l2":
+        acc = np.zeros(vecs.shape[:2])
+        for j in range(vecs.shape[2]):
+            d = vecs[:, :, j] - q[:, j][:, None]
+            acc += d * d
+        return acc
+    dotp = np.zeros(vecs.shape[:2])
+    vn = np.zeros(vecs.shape[:2])
+    qn = np.zeros(q.shape[0])
+    for j in range(vecs.shape[2]):
+        dotp += vecs[:, :, j] * q[:, j][:, None]
+        vn += vecs[:, :, j] * vecs[:, :, j]
+        qn += q[:, j] * q[:, j]
+    den = np.sqrt(qn)[:, None] * np.sqrt(vn)
+    return -np.where(den == 0, 0.0, dotp / np.where(den == 0, 1.0, den))
+
+
+def _partial_topk(qm, qids, bm, bids, k, metric, exclude_self):
+    """Candidate (q_id, b_id, score) rows: per query the best ``k`` of this
+    block. A matrix product ranks approximately; the best ``k + margin`` are
+    re-scored exactly and ordered by (score, id), all vectorised."""
     out_q, out_b, out_s = [], [], []
     if len(qm) == 0 or len(bm) == 0:
         return out_q, out_b, out_s
-    keep = min(bm.shape[0], k + _MARGIN)
-    groups = [None] if bgroups is None else list(pd.unique(bgroups))
-    for g in groups:
-        sel = np.arange(len(bids)) if g is None else np.nonzero(bgroups == g)[0]
-        if len(sel) == 0:
-            continue
-        sub = bm[sel]
-        for start in range(0, len(qm), 1024):
-            q = qm[start:start + 1024]
-            qi = qids[start:start + 1024]
-            if metric == "l2":
-                approx = (q * q).sum(1)[:, None] + (sub * sub).sum(1)[None, :] - 2.0 * q @ sub.T
-            else:  # cosine: smaller is better on the negated similarity
-                qn = np.linalg.norm(q, axis=1)[:, None]
-                bn = np.linalg.norm(sub, axis=1)[None, :]
-                approx = -(q @ sub.T) / np.where(qn * bn == 0, 1.0, qn * bn)
-            if exclude_self:
-                approx = np.where(qi[:, None] == bids[sel][None, :], np.inf, approx)
-            kk = min(keep, len(sel))
-            cand = np.argpartition(approx, kk - 1, axis=1)[:, :kk]
-            for r in range(len(q)):
-                cols = cand[r][np.isfinite(approx[r, cand[r]])]
-                if len(cols) == 0:
-                    continue
-                exact = _exact(q[r], sub[cols], metric)
-                ids = bids[sel][cols]
-                order = np.lexsort((ids, exact))[:k]
-                out_q.extend([qi[r]] * len(order))
-                out_b.extend(ids[order].tolist())
-                out_s.extend(exact[order].tolist())
+    kk = min(bm.shape[0], k + _MARGIN)
+    bsq = (bm * bm).sum(1)
+    bnorm = np.sqrt(bsq)
+    for start in range(0, len(qm), 1024):
+        q = qm[start:start + 1024]
+        qi = qids[start:start + 1024]
+        if metric == "l2":
+            approx = (q * q).sum(1)[:, None] + bsq[None, :] - 2.0 * (q @ bm.T)
+        else:  # cosine: smaller is better on the negated similarity
+            den = np.linalg.norm(q, axis=1)[:, None] * bnorm[None, :]
+            approx = -(q @ bm.T) / np.where(den == 0, 1.0, den)
+        if exclude_self:
+            approx = np.where(qi[:, None] == bids[None, :], np.inf, approx)
+        cand = np.argpartition(approx, kk - 1, axis=1)[:, :kk]          # Q x kk
+        finite = np.isfinite(np.take_along_axis(approx, cand, axis=1))
+        exact = _exact_rows(q, bm[cand], metric)                        # Q x kk
+        exact = np.where(finite, exact, np.inf)
+        ids = bids[cand]
+        order = np.lexsort((ids, exact), axis=1)[:, :k]
+        top_s = np.take_along_axis(exact, order, axis=1)
+        top_b = np.take_along_axis(ids, order, axis=1)
+        keep = np.isfinite(top_s)
+        out_q.extend(np.broadcast_to(qi[:, None], top_s.shape)[keep].tolist())
+        out_b.extend(top_b[keep].tolist())
+        out_s.extend(top_s[keep].tolist())
     return out_q, out_b, out_s
 
 

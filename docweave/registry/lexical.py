@@ -42,13 +42,13 @@ def q_tfidf_weights(spark, sf):
 
 
 def q_term_dictionary(spark, sf):
-    return LX.term_dictionary(table(spark, sf, "documents"), "text")
+    return LX.term_dictionary(spread(table(spark, sf, "documents")), "text")
 
 
 def q_bag_of_words(spark, sf):
-    docs = table(spark, sf, "documents")
-    d = LX.term_dictionary(docs, "text")
-    return LX.bag_of_words(docs, "doc_id", "text", d)
+    """Token counts are computed once; the dictionary comes from their terms."""
+    counts = LX.term_counts(spread(table(spark, sf, "documents")), "doc_id", "text")
+    return LX.bag_of_words(counts, "doc_id", LX.dictionary_of(counts))
 
 
 def q_fuzzy_best_match(spark, sf):
