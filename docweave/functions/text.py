@@ -71,9 +71,15 @@ def _alt(patterns: list[str]) -> str:
     return "|".join(patterns)
 
 
+# The same White_Space set as characters, for plain (non-regex) trimming.
+WS_CHARS = ("\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def ustrip(c: Column) -> Column:
-    """Python ``str.strip()``: trim Unicode whitespace at both ends."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: trim Unicode whitespace at both ends (a
+    character-set trim, no regex)."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def normalize_whitespace(c: Column) -> Column:
