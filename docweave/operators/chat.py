@@ -76,7 +76,9 @@ def delete_pair(messages: DataFrame, requests: DataFrame) -> DataFrame:
 
 def backfill_timestamp(messages: DataFrame, ts_col: str, batch_ts: str) -> DataFrame:
     """Missing timestamps get the batch time (explicit for determinism)."""
-    return messages.withColumn(ts_col, F.coalesce(F.col(ts_col), F.to_timestamp(F.lit(batch_ts))))
+    # the literal takes the column's own type (wall-clock NTZ stays NTZ)
+    lit = F.lit(batch_ts).cast(messages.schema[ts_col].dataType)
+    return messages.withColumn(ts_col, F.coalesce(F.col(ts_col), lit))
 
 
 def rename_sessions(names: DataFrame, requests: DataFrame, seq_col: str) -> DataFrame:

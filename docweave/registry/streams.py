@@ -39,7 +39,7 @@ def q_stream_append_log(spark, sf):
     ev.repartition(2).write.parquet(src)
     ev.repartition(2).write.mode("append").parquet(src)  # a replay of every record
     out = scratch_dir(spark, "log_out")
-    S.stream_append_log(spark, src, "event_id long, ts timestamp, event_type string, value double",
+    S.stream_append_log(spark, src, "event_id long, ts timestamp_ntz, event_type string, value double",
                         out, out + "_ckpt", "event_id", "ts")
     return spark.read.parquet(out)
 

@@ -51,7 +51,12 @@ def stream_append_log(spark: SparkSession, in_dir: str, schema: str, out_dir: st
     dropped (replays and retries do not duplicate rows)."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(in_dir))
-    dedup = stream.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([id_col])
+    # the watermark needs an instant; wall-clock (NTZ) event times are read as
+    # UTC for it, and the record keeps its own column unchanged
+    wm = stream.withColumn("__wm", F.to_utc_timestamp(F.col(ts_col).cast("timestamp"),
+                                                      F.current_timezone()))
+    dedup = (wm.withWatermark("__wm", watermark).dropDuplicatesWithinWatermark([id_col])
+             .drop("__wm"))
     q = (dedup.writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
