@@ -44,6 +44,15 @@ def _to_matrix(col: pa.Array, dim: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, dim)
 
 
+def _wire(df: DataFrame, col: str):
+    """Vector column as sent to Python: float arrays stay float32, anything
+    else becomes float64."""
+    t = df.schema[col].dataType
+    if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.FloatType):
+        return F.col(col)
+    return F.col(col).cast("array<double>")
+
+
 def _seq_sum(m: np.ndarray) -> np.ndarray:
     """Row sums added left to right (the order a SQL list sum uses), so
     equal inputs give bit-equal scores in both engines."""
@@ -128,11 +137,11 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "q_id",
     (similarity desc, b_id). With ``group``, the top-k is taken within each
     (query, group) pair (one index per document)."""
     spark = queries.sparkSession
+    # float32 vectors cross to Python as float32 (half the Arrow bytes);
+    # scores are always computed in float64
     qs = queries.select(F.col(q_id).cast("long").alias("q_id"),
-                        F.col(q_vec).cast("array<double>").alias("q_vec")).filter(
-        F.col("q_vec").isNotNull())
-    bcols = [F.col(b_id).cast("long").alias("b_id"),
-             F.col(b_vec).cast("array<double>").alias("b_vec")]
+                        _wire(queries, q_vec).alias("q_vec")).filter(F.col("q_vec").isNotNull())
+    bcols = [F.col(b_id).cast("long").alias("b_id"), _wire(base, b_vec).alias("b_vec")]
     if group:
         bcols.append(F.col(group).alias("grp"))
     bs = base.select(*bcols).filter(F.col("b_vec").isNotNull())
