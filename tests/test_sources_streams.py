@@ -70,3 +70,11 @@ def test_corpus_refresh_incremental_equals_full(spark, sf):
     full = page_chunk_vectors(spark.read.parquet(f"{sf}/pages.parquet"))
     full = {r.h for r in full.select(content_hash(F.col("chunk").cast("string")).alias("h")).distinct().collect()}
     assert inc == full
+
+
+def test_scan_text_lines_keeps_file_order(spark):
+    d = tempfile.mkdtemp(prefix="docweave-lines-")
+    with open(os.path.join(d, "q.txt"), "w", encoding="utf-8") as f:
+        f.write("first question\n\n   \nsecond question \nthird\n")
+    rows = SRC.scan_text_lines(spark, d).orderBy("line_key").collect()
+    assert [r.line for r in rows] == ["first question", "second question", "third"]
