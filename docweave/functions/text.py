@@ -225,8 +225,12 @@ def keyword_head(c: Column, top_n: int = 3) -> Column:
 def nav_match(c: Column, full: bool = False) -> Column:
     """True when the text contains any navigation pattern."""
     pats = NAV_PATTERNS_FULL if full else NAV_PATTERNS
-    # no \w or \b in these patterns: Unicode case folding (?iu) is enough
-    return F.coalesce(c.rlike("(?iu)" + _alt(pats).replace(r"\s", WS)), F.lit(False))
+    # no \w or \b in these patterns: Unicode case folding (?iu) is enough.
+    # The lookahead on the possible first letters (folded the same way) lets
+    # most positions fail on one class test instead of every alternative.
+    first = "".join(sorted({p[0].lower() for p in pats}))
+    regex = f"(?iu)(?=[{first}])(?:" + _alt(pats).replace(r"\s", WS) + ")"
+    return F.coalesce(c.rlike(regex), F.lit(False))
 
 
 def body_slice(html: Column) -> Column:
