@@ -30,8 +30,8 @@ def table_to_graph(pairs: DataFrame, order_cols: list[str]):
 def entity_tokens(c: Column) -> Column:
     """Entities (no NER model offline): letter/digit runs of 2+ chars that
     start with a capital letter, in text order."""
-    return F.filter(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), 0),
-                    lambda t: t.rlike(r"^\p{Lu}") & (F.length(t) >= 2))
+    # one pass: a run may only start where no letter/digit precedes it
+    return F.regexp_extract_all(c, F.lit(r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{N}]+"), 0)
 
 
 def entity_chain_graph(docs: DataFrame, text_col: str):
@@ -47,11 +47,15 @@ def entity_chain_graph(docs: DataFrame, text_col: str):
     edges = (pairs.select(F.col("p.a").alias("a"), F.col("p.b").alias("b")).filter(F.col("a") != F.col("b"))
              .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
     nodes = (d.filter(F.size("e") >= 2).select(F.explode("e").alias("id")).distinct()
-             .withColumn("label", F.when(F.col("id") == F.upper("id"), F.lit("ACRONYM"))
-                         .otherwise(F.lit("NAME"))))
+             .withColumn("label", entity_label(F.col("id"))))
     return nodes, edges
 
 
+def entity_label(e: Column) -> Column:
+    """ACRONYM (all capitals) or NAME: a function of the entity alone."""
+    return F.when(e == F.upper(e), F.lit("ACRONYM")).otherwise(F.lit("NAME"))
+
+
 def graph_to_text(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", F.concat_ws(": ", "src", "dst").alias("text"))
 

@@ -9,6 +9,7 @@ from docweave.operators import graph as G
 from docweave.operators import html as H
 from docweave.registry.html import _TP, table_pages
 from docweave.registry.sqlfrag import sql_list
+from docweave.plans.parallel import spread
 from docweave.session import scratch_dir, table
 
 
@@ -28,10 +29,11 @@ def q_table_to_graph(spark, sf):
 
 
 def q_entity_chain_graph(spark, sf):
-    nodes, edges = G.entity_chain_graph(table(spark, sf, "documents"), "text")
-    a = nodes.select(F.col("id").alias("src"), F.col("label").alias("src_label"))
-    b = nodes.select(F.col("id").alias("dst"), F.col("label").alias("dst_label"))
-    return edges.join(a, "src").join(b, "dst")
+    # edge endpoints are nodes by construction and a node's label is a
+    # function of its text, so no join back to the node table is needed
+    _, edges = G.entity_chain_graph(spread(table(spark, sf, "documents")), "text")
+    return edges.select("src", "dst", G.entity_label(F.col("src")).alias("src_label"),
+                        G.entity_label(F.col("dst")).alias("dst_label"))
 
 
 def q_graph_to_text(spark, sf):
