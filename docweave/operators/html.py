@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from docweave.functions import text as tx
 from docweave.functions.html_parse import PAGE_SCHEMA, parse_page
-from docweave.plans.parallel import spread
+from docweave.plans.parallel import filter_computed, spread
 
 _STR_LIST = pa.list_(pa.string())
 _ARROW_FIELDS = [
@@ -267,8 +267,8 @@ def page_document_full(parsed: DataFrame, header_col: str = "url") -> DataFrame:
     parts = F.array(t, list_bullets(F.col("lists"), F.col("stray_items")), table_text(F.col("tables")))
     parts = F.filter(F.transform(parts, tx.ustrip), lambda s: s != "")
     content = F.array_join(parts, "\n\n")
-    return (parsed.select("page_id", F.col(header_col).alias("source"), content.alias("content"))
-            .filter(F.col("content") != "")
+    docs = parsed.select("page_id", F.col(header_col).alias("source"), content.alias("content"))
+    return (filter_computed(docs, F.col("content") != "")
             .withColumn("block", F.concat(F.lit("===== FILE: "), F.col("source"),
                                           F.lit(" =====\n"), F.col("content"))))
 

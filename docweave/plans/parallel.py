@@ -15,3 +15,16 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def filter_computed(df: DataFrame, condition) -> DataFrame:
+    """Filter on columns computed by ``df``'s last projection, evaluating
+    them once. Catalyst pushes a filter below a projection by inlining the
+    aliased expressions, which runs an expensive expression twice (once in
+    the filter, once in the output). A one-element ``inline`` is a
+    ``Generate`` the filter cannot be pushed through, so the projection is
+    evaluated once and the filter reads its result."""
+    from pyspark.sql import functions as F
+    cols = df.columns
+    boxed = df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in cols]))))
+    return boxed.filter(condition)
