@@ -155,6 +155,15 @@ QUERIES = {
 }
 
 _NAV = "|".join(tx.NAV_PATTERNS_FULL).replace(r"\s", WS).replace("'", "''")
+_NAV1 = "|".join(tx.NAV_PATTERNS).replace(r"\s", WS).replace("'", "''")
+# tags whose start (or end) closes an open paragraph in the fixture's markup
+_BLOCK = ("address|article|aside|blockquote|center|details|dialog|dir|div|dl|fieldset|figcaption|figure|"
+          "footer|form|h1|h2|h3|h4|h5|h6|header|hgroup|hr|li|main|menu|nav|ol|pre|section|summary|table|ul")
+
+
+def _decode(x: str) -> str:
+    return (f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), "
+            f"'&amp;', '&')")
 
 _TP = """tp AS (SELECT p_partkey AS page_id, p_size % 5 = 0 AS has_nav, p_type, CAST(p_size AS VARCHAR) AS size_s,
                p_brand, CAST(p_retailprice AS VARCHAR) AS price_s FROM part)"""
@@ -223,4 +232,55 @@ FROM s""",
 SELECT r.name, m.page_id, CASE WHEN m.page_id IS NULL THEN 'not_found' ELSE 'found' END AS status
 FROM req r LEFT JOIN m USING (name)""",
     "decode_quarantine": "SELECT page_id, 'ok' AS status, CAST(strlen(html) AS INTEGER) AS n_bytes FROM pages",
+    # The fixture's lists are flat <ul><li><a ...>word</a></li></ul> blocks with
+    # no entities or nesting, so a regex over the markup is a faithful oracle.
+    "html_list_bullets": f"""WITH li AS (
+    SELECT page_id, i AS pos,
+           regexp_replace(regexp_replace(l[i], '<[^>]*>', '', 'g'), '^{WS}+|{WS}+$', '', 'g') AS item
+    FROM (SELECT page_id, regexp_extract_all(html, '<li[^>]*>(.*?)</li>', 1) AS l FROM pages),
+         range(1, len(l) + 1) t(i)),
+  kept AS (SELECT page_id, pos, regexp_replace(item, '([a-z])(https?://|www\\.)', '\\1 \\2', 'g') AS item
+           FROM li WHERE length(item) > 2),
+  first AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(item) ORDER BY pos) AS rn FROM kept)
+SELECT p.page_id, coalesce(b.bullets, '') AS bullets FROM pages p LEFT JOIN (
+  SELECT page_id, string_agg('• ' || item, chr(10) ORDER BY pos) AS bullets FROM first WHERE rn = 1 GROUP BY page_id) b
+USING (page_id)""",
+    # Paragraphs: the body is cut before every <p> and every block tag; a
+    # segment that starts with <p> runs to its first </p>. Its text is the
+    # tag-free content (navigation test) and the stripped text nodes joined.
+    "html_paragraphs": f"""WITH b AS (
+    SELECT page_id, CASE WHEN instr(html, '<body>') > 0 THEN instr(html, '<body>') + 6 ELSE 1 END AS s,
+           CASE WHEN instr(html, '</body>') > 0 THEN instr(html, '</body>') ELSE length(html) + 1 END AS e, html
+    FROM pages),
+  body AS (SELECT page_id, CASE WHEN e >= s THEN substr(html, s, e - s) ELSE '' END AS body FROM b),
+  seg AS (SELECT page_id, i, x[i] AS sg FROM (
+            SELECT page_id, string_split(regexp_replace(body, '(<p[\\s>]|</?(?:{_BLOCK})[\\s>/])', chr(1) || '\\1', 'g'),
+                                         chr(1)) AS x FROM body), range(1, len(x) + 1) t(i)),
+  par AS (SELECT page_id, i, split_part(substr(sg, instr(sg, '>') + 1), '</p>', 1) AS c
+          FROM seg WHERE regexp_matches(sg, '^<p[\\s>]')),
+  txt AS (SELECT page_id, i, {_decode("regexp_replace(c, '<[^>]*>', '', 'g')")} AS raw,
+                 array_to_string(list_transform(regexp_split_to_array(c, '<[^>]*>'),
+                   lambda y: regexp_replace({_decode('y')}, '^{WS}+|{WS}+$', '', 'g')), '') AS stripped
+          FROM par),
+  keep AS (SELECT * FROM txt WHERE NOT regexp_matches(raw, '{_NAV1}', 'i') AND length(stripped) > 20)
+SELECT p.page_id, coalesce(k.text, '') AS text FROM pages p LEFT JOIN (
+  SELECT page_id, string_agg(stripped, chr(10) || chr(10) ORDER BY i) AS text FROM keep GROUP BY page_id) k
+USING (page_id)""",
+    # The fixture uses only the entities &amp; &quot; &middot; &copy; (decoded
+    # here, &amp; last) and no bare '<' in text, so tag splitting is faithful.
+    "html_visible_text": f"""WITH h AS (
+    SELECT page_id, regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g') AS h
+    FROM pages)
+SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(h, '<[^>]*>'),
+       lambda x: regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'),
+                                        '&amp;', '&'), '^{WS}+|{WS}+$', '', 'g')),
+       lambda x: x <> ''), chr(10)) AS text
+FROM h""",
+    "html_list_items": f"""WITH ul AS (
+    SELECT page_id, CAST(j - 1 AS INTEGER) AS list_no, u[j] AS body
+    FROM (SELECT page_id, regexp_extract_all(html, '<ul[^>]*>(.*?)</ul>', 1) AS u FROM pages),
+         range(1, len(u) + 1) t(j))
+SELECT page_id, list_no, array_to_string(list_transform(regexp_extract_all(body, '<li[^>]*>(.*?)</li>', 1),
+       lambda x: regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '^{WS}+|{WS}+$', '', 'g')), '␟') AS items
+FROM ul""",
 }
