@@ -171,6 +171,23 @@ _TP = """tp AS (SELECT p_partkey AS page_id, p_size % 5 = 0 AS has_nav, p_type,
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 
+_PARAS = f"""b AS (
+    SELECT page_id, CASE WHEN instr(html, '<body>') > 0 THEN instr(html, '<body>') + 6 ELSE 1 END AS s,
+           CASE WHEN instr(html, '</body>') > 0 THEN instr(html, '</body>') ELSE length(html) + 1 END AS e, html
+    FROM pages),
+  body AS (SELECT page_id, CASE WHEN e >= s THEN substr(html, s, e - s) ELSE '' END AS body FROM b),
+  seg AS (SELECT page_id, i, x[i] AS sg FROM (
+            SELECT page_id, string_split(regexp_replace(body, '(<p[\\s>]|</?(?:{_BLOCK})[\\s>/])', chr(1) || '\\1', 'g'),
+                                         chr(1)) AS x FROM body), range(1, len(x) + 1) t(i)),
+  par AS (SELECT page_id, i, split_part(substr(sg, instr(sg, '>') + 1), '</p>', 1) AS c
+          FROM seg WHERE regexp_matches(sg, '^<p[\\s>]')),
+  txt AS (SELECT page_id, i, {_decode("regexp_replace(c, '<[^>]*>', '', 'g')")} AS raw,
+                 array_to_string(list_transform(regexp_split_to_array(c, '<[^>]*>'),
+                   lambda y: regexp_replace({_decode('y')}, '^{WS}+|{WS}+$', '', 'g')), '') AS stripped
+          FROM par),
+  keep AS (SELECT * FROM txt WHERE NOT regexp_matches(raw, '{_NAV1}', 'i') AND length(stripped) > 20)"""
+
+
 def _grid_sql() -> str:
     w1 = "greatest(5, length(p_type), length(p_brand), 9)"
     w2 = "greatest(6, length(size_s), length(price_s), 0)"
@@ -248,24 +265,27 @@ USING (page_id)""",
     # Paragraphs: the body is cut before every <p> and every block tag; a
     # segment that starts with <p> runs to its first </p>. Its text is the
     # tag-free content (navigation test) and the stripped text nodes joined.
-    "html_paragraphs": f"""WITH b AS (
-    SELECT page_id, CASE WHEN instr(html, '<body>') > 0 THEN instr(html, '<body>') + 6 ELSE 1 END AS s,
-           CASE WHEN instr(html, '</body>') > 0 THEN instr(html, '</body>') ELSE length(html) + 1 END AS e, html
-    FROM pages),
-  body AS (SELECT page_id, CASE WHEN e >= s THEN substr(html, s, e - s) ELSE '' END AS body FROM b),
-  seg AS (SELECT page_id, i, x[i] AS sg FROM (
-            SELECT page_id, string_split(regexp_replace(body, '(<p[\\s>]|</?(?:{_BLOCK})[\\s>/])', chr(1) || '\\1', 'g'),
-                                         chr(1)) AS x FROM body), range(1, len(x) + 1) t(i)),
-  par AS (SELECT page_id, i, split_part(substr(sg, instr(sg, '>') + 1), '</p>', 1) AS c
-          FROM seg WHERE regexp_matches(sg, '^<p[\\s>]')),
-  txt AS (SELECT page_id, i, {_decode("regexp_replace(c, '<[^>]*>', '', 'g')")} AS raw,
-                 array_to_string(list_transform(regexp_split_to_array(c, '<[^>]*>'),
-                   lambda y: regexp_replace({_decode('y')}, '^{WS}+|{WS}+$', '', 'g')), '') AS stripped
-          FROM par),
-  keep AS (SELECT * FROM txt WHERE NOT regexp_matches(raw, '{_NAV1}', 'i') AND length(stripped) > 20)
+    "html_paragraphs": f"""WITH {_PARAS}
 SELECT p.page_id, coalesce(k.text, '') AS text FROM pages p LEFT JOIN (
   SELECT page_id, string_agg(stripped, chr(10) || chr(10) ORDER BY i) AS text FROM keep GROUP BY page_id) k
 USING (page_id)""",
+    # First-generation document: paragraphs, then each non-empty <ul> as a
+    # Python list literal (no quotes occur in the fixture's items), newline-
+    # joined; links are counted inside the body.
+    "page_document": f"""WITH {_PARAS},
+  ptxt AS (SELECT page_id, string_agg(stripped, chr(10) || chr(10) ORDER BY i) AS text FROM keep GROUP BY page_id),
+  ul AS (SELECT page_id, j, list_transform(regexp_extract_all(u[j], '<li[^>]*>(.*?)</li>', 1),
+           lambda x: regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '^{WS}+|{WS}+$', '', 'g')) AS items
+         FROM (SELECT page_id, regexp_extract_all(body, '<ul[^>]*>(.*?)</ul>', 1) AS u FROM body),
+              range(1, len(u) + 1) t(j)),
+  lst AS (SELECT page_id, string_agg('[' || array_to_string(list_transform(items, lambda x: chr(39) || x || chr(39)), ', ')
+                                     || ']', chr(10) ORDER BY j) AS lists
+          FROM ul WHERE len(items) > 0 GROUP BY page_id),
+  links AS (SELECT page_id, CAST(len(regexp_extract_all(body, '<a\\s[^>]*?href="([^"]*)"', 1)) AS INTEGER) AS n_links
+            FROM body)
+SELECT p.page_id, string_split({_PATH}, '/')[-1] AS page_name,
+       concat_ws(chr(10), nullif(ptxt.text, ''), lst.lists) AS page_content, links.n_links
+FROM pages p LEFT JOIN ptxt USING (page_id) LEFT JOIN lst USING (page_id) JOIN links USING (page_id)""",
     # The fixture uses only the entities &amp; &quot; &middot; &copy; (decoded
     # here, &amp; last) and no bare '<' in text, so tag splitting is faithful.
     "html_visible_text": f"""WITH h AS (
