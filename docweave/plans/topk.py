@@ -32,8 +32,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from docweave.plans.parallel import spread
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-Q_BLOCK = 4096
-B_BLOCK = 65536
+# Block-cogroup sizes. Each base row is shipped to every query block and
+# each query row to every base block, so the shuffle is
+# n_b * ceil(n_q / Q_BLOCK) + n_q * ceil(n_b / B_BLOCK) rows: large query
+# blocks keep base replication low, and a cell holds at most
+# (Q_BLOCK + B_BLOCK) vectors in memory (scored 1024 queries at a time).
+Q_BLOCK = 16384
+B_BLOCK = 32768
 _MARGIN = 8
 
 
