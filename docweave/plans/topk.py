@@ -150,8 +150,14 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "q_id",
     if group:
         bcols.append(F.col(group).alias("grp"))
     bs = base.select(*bcols).filter(F.col("b_vec").isNotNull())
-    stats = qs.agg(F.count("*").alias("n"), F.max(F.size("q_vec")).alias("d")).first()
-    n_q, dim = int(stats["n"]), int(stats["d"] or 0)
+    # dimension from one row; then at most cap+1 query rows are collected:
+    # a bounded set is broadcast from that same collect, a larger one (which
+    # only shows that the bound is exceeded) goes to the block cogroup
+    first = qs.select(F.size("q_vec").alias("d")).limit(1).collect()
+    dim = int(first[0]["d"]) if first else 0
+    cap = max_broadcast_bytes // (8 * max(dim, 1))
+    qpdf = qs.filter(F.size("q_vec") == dim).limit(cap + 1).toPandas() if dim else None
+    n_q = 0 if qpdf is None else len(qpdf)
     grp_type = base.schema[group].dataType if group else None
     grp_arrow = to_arrow_type(grp_type) if group else None
     cand_fields = [T.StructField("q_id", T.LongType()), T.StructField("b_id", T.LongType())]
@@ -166,8 +172,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "q_id",
     bs = bs.filter(F.size("b_vec") == dim)
     qs = qs.filter(F.size("q_vec") == dim)
 
-    if n_q * dim * 8 <= max_broadcast_bytes:
-        qpdf = qs.toPandas()  # bounded by the size check above
+    if n_q <= cap:
         qm_b = spark.sparkContext.broadcast(
             (np.stack(qpdf["q_vec"].to_numpy()).astype(np.float64) if n_q else None,
              qpdf["q_id"].to_numpy(dtype=np.int64)))
@@ -198,6 +203,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "q_id",
 
         cands = spread(bs).mapInArrow(run, cand_schema)
     else:
+        n_q = qs.count()
         n_b = bs.count()
         nq_blocks = max(1, math.ceil(n_q / Q_BLOCK))
         nb_blocks = max(1, math.ceil(n_b / B_BLOCK))
