@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 BUCKET = 4096
 
 
-def _bucket(order: str, bucket_size: int) -> Column:
-    return F.floor(F.col(order) / F.lit(bucket_size)).cast("long")
+def _bucket(order: str, bucket_size: int | None) -> Column:
+    size = BUCKET if bucket_size is None else bucket_size
+    return F.floor(F.col(order) / F.lit(size)).cast("long")
 
 
 def seq_number(df: DataFrame, keys: list[str], order: str, out: str = "seq",
-               bucket_size: int = BUCKET) -> DataFrame:
+               bucket_size: int | None = None) -> DataFrame:
     """1-based position of each row within ``keys`` ordered by ``order``
     (ties broken arbitrarily but deterministically by the remaining sort).
 
@@ -48,7 +49,7 @@ def with_previous(df: DataFrame, keys: list[str], seq: str, cols: list[str],
 
 
 def running_max(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
-                bucket_size: int = BUCKET) -> DataFrame:
+                bucket_size: int | None = None) -> DataFrame:
     """Running (inclusive) max of ``value`` within ``keys`` by ``order``;
     per-bucket running max plus the max of all earlier buckets."""
     d = df.withColumn("__b", _bucket(order, bucket_size)).withColumn("__v", value)
@@ -64,7 +65,7 @@ def running_max(df: DataFrame, keys: list[str], order: str, value: Column, out:
 
 
 def ordered_concat(df: DataFrame, keys: list[str], order: str, value: str, sep: str,
-                   out: str, bucket_size: int = BUCKET) -> DataFrame:
+                   out: str, bucket_size: int | None = None) -> DataFrame:
     """``sep``-joined ``value`` per ``keys`` in ``order``. Partial strings are
     built per (keys, bucket) in parallel; the final step joins one partial per
     bucket."""

@@ -70,3 +70,26 @@ def test_append_and_titles(spark):
     assert ("chat_session_20250307_165051", 1, "assistant", "r2") in [tuple(r) for r in out]
     t = {r.session_id: r.title for r in CH.conversation_title(msgs).collect()}
     assert t == {"a": "hello there"}
+
+
+def test_state_machines_across_many_buckets(spark, monkeypatch):
+    """Same brute force with 3-turn buckets: every session spans several
+    buckets, so bucket offsets and previous-row joins are exercised."""
+    import random
+
+    import docweave.plans.skew as SK
+    monkeypatch.setattr(SK, "BUCKET", 3)
+    random.seed(9)
+    alphabet = [("user", "Q"), ("user", "x"), ("assistant", "Q a"), ("assistant", "b"), ("system", "q")]
+    sessions = [[random.choice(alphabet) for _ in range(random.randint(1, 14))] for _ in range(400)]
+    rows = [(f"s{i}", 2 * t + 1, r, c) for i, s in enumerate(sessions) for t, (r, c) in enumerate(s)]
+    msgs = spark.createDataFrame(rows, "session_id string, turn long, role string, content string")
+    req = spark.createDataFrame([(f"s{i}", "Q") for i in range(len(sessions))], "session_id string, question string")
+    kept, found = {}, {}
+    for r in CH.delete_pair(msgs, req).collect():
+        kept.setdefault(r.session_id, []).append((r.turn, r.role, r.content))
+    for r in CH.search_pairs(msgs, "Q").collect():
+        found.setdefault(r.session_id, []).append((r.turn, r.question, r.answer))
+    for i, s in enumerate(sessions):
+        assert [(ro, c) for _, ro, c in sorted(kept.get(f"s{i}", []))] == _ref_delete(s, "Q")
+        assert [(q, a) for _, q, a in sorted(found.get(f"s{i}", []))] == _ref_search(s, "q")
