@@ -217,6 +217,38 @@ def content_tokens(c: Column) -> Column:
     )
 
 
+def _deaccent_table() -> tuple[str, str]:
+    """Rule-built table: every Latin letter in U+00C0..U+024F whose canonical
+    decomposition is one base letter plus combining marks maps to that base
+    letter (what NFD + dropping marks does to it)."""
+    import unicodedata
+    src, dst = [], []
+    for cp in range(0x00C0, 0x0250):
+        ch = chr(cp)
+        base = "".join(x for x in unicodedata.normalize("NFD", ch) if not unicodedata.combining(x))
+        if len(base) == 1 and base != ch:
+            src.append(ch)
+            dst.append(base)
+    return "".join(src), "".join(dst)
+
+
+_DEACCENT_SRC, _DEACCENT_DST = _deaccent_table()
+
+
+def deaccent(c: Column) -> Column:
+    """Strip accents from Latin letters (one ``translate``, JVM-side)."""
+    return F.translate(c, _DEACCENT_SRC, _DEACCENT_DST)
+
+
+def topic_tokens(c: Column, min_len: int = 2, max_len: int = 15) -> Column:
+    """Tokens for topic models: de-accented, lower-case alphabetic runs of
+    ``min_len``..``max_len`` letters, stop words removed. (Lemmatisation needs
+    a lexicon that is not available offline; tokens are used as they are.)"""
+    toks = F.regexp_extract_all(deaccent(F.lower(c)), F.lit(r"[\p{L}]+"), 0)
+    return F.filter(toks, lambda t: (F.length(t) >= min_len) & (F.length(t) <= max_len)
+                    & ~t.isin(*STOP_WORDS))
+
+
 def keyword_head(c: Column, top_n: int = 3) -> Column:
     """First ``top_n`` content tokens joined by a space."""
     return F.array_join(F.slice(content_tokens(c), 1, top_n), " ")

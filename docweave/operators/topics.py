@@ -84,9 +84,10 @@ def topic_tree(items: DataFrame, topic_col: str = "topic", sub_col: str = "sub")
 
 def lda_topics(docs: DataFrame, text_col: str, k: int = 5, max_iter: int = 10, seed: int = 42,
                top_words: int = 10) -> DataFrame:
-    """LDA over content-token counts (one document per row, not one joined
-    string); top words per topic: ``(topic, rank, term, weight)``."""
-    toks = docs.select(tx.content_tokens(F.col(text_col)).alias("tokens"))
+    """LDA over topic-token counts (de-accented alphabetic tokens, stop words
+    out; one document per row, not one joined string); top words per topic:
+    ``(topic, rank, term, weight)``."""
+    toks = docs.select(tx.topic_tokens(F.col(text_col)).alias("tokens"))
     cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0).fit(toks)
     feats = cv.transform(toks).cache()
     model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features").fit(feats)

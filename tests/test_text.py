@@ -57,3 +57,17 @@ def test_truncate_title(spark):
 def test_render_answer(spark, s, expected):
     df = spark.createDataFrame([(s,)], "t string")
     assert df.select(tx.render_answer(F.col("t"))).first()[0] == expected
+
+
+def test_deaccent_and_topic_tokens(spark):
+    import unicodedata
+
+    def ref_deacc(s):
+        return unicodedata.normalize("NFC", "".join(
+            c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)))
+    words = ["Café crème", "Über Straße", "niño ÅÇÈ", "élève à l'école", "x1 ab_cd"]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    got = [r[0] for r in df.select(tx.deaccent(F.col("t"))).collect()]
+    assert got == [ref_deacc(w) for w in words]
+    toks = [r[0] for r in df.select(tx.topic_tokens(F.col("t"))).collect()]
+    assert toks[0] == ["cafe", "creme"] and toks[2] == ["nino", "ace"] and toks[4] == ["ab", "cd"]
