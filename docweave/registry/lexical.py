@@ -9,7 +9,7 @@ from docweave.operators import lexical as LX
 from docweave.registry.chat import messages
 from docweave.registry.sqlfrag import WORD, WS, sql_list
 from docweave.plans.parallel import spread
-from docweave.session import table
+from docweave.session import reliable_checkpoint, table
 
 
 def qa_pairs(spark, sf):
@@ -46,8 +46,9 @@ def q_term_dictionary(spark, sf):
 
 
 def q_bag_of_words(spark, sf):
-    """Token counts are computed once; the dictionary comes from their terms."""
-    counts = LX.term_counts(spread(table(spark, sf, "documents")), "doc_id", "text")
+    """Token counts are computed once (written to the shared checkpoint
+    folder, since the dictionary and the result both read them)."""
+    counts = reliable_checkpoint(LX.term_counts(spread(table(spark, sf, "documents")), "doc_id", "text"))
     return LX.bag_of_words(counts, "doc_id", LX.dictionary_of(counts))
 
 
