@@ -15,6 +15,32 @@ TABLES = (
 ).split()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``docweave`` importable in every Python worker: zip the package
+    once per application and register it with ``addPyFile`` (Spark copies it
+    to each executor and puts it on the workers' path). The zip is code, not
+    data: it is built on the driver and distributed by Spark."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="docweave-pyfiles-"), "docweave.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app_name: str = "docweave") -> SparkSession:
     """Session for tests and the bench. On a cluster, pass no master and let
@@ -36,6 +62,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
