@@ -10,7 +10,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows over the cluster's cores when the input has fewer
     partitions than cores (a few large files, a small table). On large inputs
     the partition count already exceeds the cores and nothing changes, so no
-    shuffle is added at scale."""
+    shuffle is added at scale.
+
+    Call it on scans (and row-wise projections of them) only: the partition
+    count is read from ``DataFrame.rdd``, which is free for a scan but would
+    run the map side of any shuffle below it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
