@@ -91,6 +91,7 @@ def lda_topics(docs: DataFrame, text_col: str, k: int = 5, max_iter: int = 10, s
     cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0).fit(toks)
     feats = cv.transform(toks).cache()
     model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features").fit(feats)
+    feats.unpersist()  # the fitted model holds what the topics need
     topics = model.describeTopics(top_words)
     spark = docs.sparkSession
     vocab = spark.createDataFrame(list(enumerate(cv.vocabulary)), "ix int, term string")

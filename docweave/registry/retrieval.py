@@ -9,6 +9,7 @@ from docweave.operators import chunk as C
 from docweave.operators import html as H
 from docweave.operators import retrieve as R
 from docweave.registry.sqlfrag import cosine, sq_l2
+from docweave.plans.parallel import spread
 from docweave.session import reliable_checkpoint, table
 
 
@@ -57,17 +58,17 @@ def q_chunk_fixed_text(spark, sf):
 
 
 def q_chunk_recursive_chars(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return C.chunk_recursive_chars(docs, ["doc_id"], "text", 500, 100)
 
 
 def q_chunk_recursive_tokens(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return C.chunk_recursive_tokens(docs, ["doc_id"], "text", 500, 20)
 
 
 def q_chunk_sentences(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return C.chunk_sentences(docs, ["doc_id"], "text")
 
 
