@@ -209,15 +209,18 @@ def table_grid(table: Column) -> Column:
 
 
 def tables_as_grids(tables: Column) -> Column:
-    """All content tables as grids, blank-line joined (two-column tables drop
-    all-empty rows, as the first generation does)."""
+    """First-generation tables as grids, blank-line joined: tables whose cells
+    are all within {back, forward} or all empty are dropped; two-column
+    tables drop all-empty rows."""
     def two_col_fix(t):
         return F.when(
             F.forall(t, lambda r: F.size(r) == 2),
             F.filter(t, lambda r: F.exists(r, lambda c: c != "")),
         ).otherwise(t)
 
-    grids = F.transform(content_tables(tables), lambda t: table_grid(two_col_fix(t)))
+    kept = F.filter(content_tables(tables, short_nav=True),
+                    lambda t: F.exists(F.flatten(t), lambda c: tx.ustrip(c) != ""))
+    grids = F.transform(kept, lambda t: table_grid(two_col_fix(t)))
     return F.array_join(F.filter(grids, lambda g: g != ""), "\n\n")
 
 

@@ -75,3 +75,12 @@ def test_page_document_full(spark):
     out = H.page_document_full(_parsed(spark)).first()
     assert out.block.startswith("===== FILE: /x/page.htm =====\n")
     assert "• Home page" in out.content and "Types | Limits" in out.content
+
+
+def test_grid_drops_empty_and_navigation_tables(spark):
+    html = ("<table><tr><td> </td><td></td></tr></table>"
+            "<table><tr><td>Back</td><td>Forward</td></tr></table>"
+            "<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td></td></tr><tr><td></td><td></td></tr></table>")
+    df = spark.createDataFrame([(1, "/p.htm", html)], "page_id long, url string, html string")
+    g = H.parse_pages(df).select(H.tables_as_grids(F.col("tables")).alias("g")).first().g
+    assert g.split("\n") == ["+---+---+", "| A | B |", "+===+===+", "| 1 |   |", "+---+---+"]
