@@ -85,7 +85,7 @@ ORACLE = {
     "model_accuracy": f"""WITH {_BASE}
 SELECT model, round(avg(CASE WHEN matched THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM fl GROUP BY model""",
     "matched_count": f"WITH {_BASE} SELECT count(*) FILTER (WHERE matched) AS matched_count FROM fl",
-    "column_widths": """SELECT "column", greatest(coalesce(w, 0), length("column")) + 2 AS width FROM (
+    "column_widths": """SELECT "column", CAST(greatest(coalesce(w, 0), length("column")) + 2 AS INTEGER) AS width FROM (
   SELECT 's_suppkey' AS "column", max(length(CAST(s_suppkey AS VARCHAR))) AS w FROM supplier
   UNION ALL SELECT 's_name', max(length(s_name)) FROM supplier
   UNION ALL SELECT 's_nationkey', max(length(CAST(s_nationkey AS VARCHAR))) FROM supplier
