@@ -28,14 +28,16 @@ NAV_PATTERNS_FULL = NAV_PATTERNS + [
 ]
 # Filler phrases deleted from page text (case-insensitive).
 FILLER_PATTERNS = [
-    r"GEO Help 8\.09\s*%", r"GEO Help 8\.09", r"End of search results\.?",
+    r"End of search results\.?",
     r"Click\s+here\s+to\s+see\s+this\s+page\s+in\s+full\s+context",
 ]
 # Navigation labels deleted from page text (case-insensitive, whole words).
-NAV_LABELS = [
-    r"\bBack Forward\b", r"\bGEO Help\b", r"\bApplication Look\b",
-    r"\bGEO License and Version Number\b",
-]
+NAV_LABELS = [r"\bBack Forward\b", r"\bApplication Look\b"]
+# Help-system phrases that carry the documented product's name and version;
+# they are built from the caller's ``product`` / ``version`` (see
+# ``product_fillers``), so the corpus' product is configuration, not code.
+PRODUCT_FILLER_FORMS = ["{product} Help {version}\\s*%", "{product} Help {version}"]
+PRODUCT_LABEL_FORMS = ["\\b{product} Help\\b", "\\b{product} License and Version Number\\b"]
 APOLOGY_PATTERN = r"please accept our apologies\.?"
 # Lines dropped exactly (after trimming) from line-split page text.
 BOILERPLATE_LINES = [
@@ -100,10 +102,25 @@ def collapse_repeated_phrases(c: Column) -> Column:
     )
 
 
-def strip_fillers(c: Column) -> Column:
-    """Delete filler phrases, then navigation labels."""
-    c = F.regexp_replace(c, "(?iU)" + _alt(FILLER_PATTERNS), "")
-    return F.regexp_replace(c, "(?iU)" + _alt(NAV_LABELS), "")
+def product_fillers(product: str | None, version: str | None) -> tuple[list[str], list[str]]:
+    """Filler and label patterns for the documented product (empty when no
+    product is given)."""
+    import re as _re
+    if not product:
+        return [], []
+    p = _re.escape(product)
+    v = _re.escape(version) if version else ""
+    fillers = [f.format(product=p, version=v) for f in PRODUCT_FILLER_FORMS] if version else []
+    labels = [f.format(product=p) for f in PRODUCT_LABEL_FORMS]
+    return fillers, labels
+
+
+def strip_fillers(c: Column, product: str | None = None, version: str | None = None) -> Column:
+    """Delete filler phrases, then navigation labels (case-insensitive).
+    ``product`` / ``version`` add the help system's own name phrases."""
+    pf, pl = product_fillers(product, version)
+    c = F.regexp_replace(c, "(?iU)" + _alt(pf + FILLER_PATTERNS), "")
+    return F.regexp_replace(c, "(?iU)" + _alt(pl + NAV_LABELS), "")
 
 
 def collapse_ellipsis(c: Column) -> Column:

@@ -122,6 +122,7 @@ def append_messages(messages: DataFrame, requests: DataFrame) -> DataFrame:
     return messages.select("session_id", "turn", "role", "content").unionByName(rows)
 
 
+# Fixed value: the heading that marks the feedback document (it stays last).
 FEEDBACK_HEADING = "---Feedback---"
 
 

@@ -92,16 +92,18 @@ def block_text_raw(nodes: Column, paras: Column) -> Column:
     return tx.normalize_whitespace(F.array_join(F.transform(kept, lambda n: n["text"]), " "))
 
 
-def clean_block_text(raw: Column) -> Column:
-    """The cleaning chain applied to block text."""
+def clean_block_text(raw: Column, product: str | None = None, version: str | None = None) -> Column:
+    """The cleaning chain applied to block text (``product`` / ``version``:
+    the help system's own name phrases to delete, if any)."""
     t = tx.collapse_repeated_phrases(raw)
-    t = tx.strip_fillers(t)
+    t = tx.strip_fillers(t, product, version)
     t = tx.collapse_ellipsis(t)
     return tx.regroup_paragraphs(t)
 
 
-def block_text(nodes: Column, paras: Column) -> Column:
-    return clean_block_text(block_text_raw(nodes, paras))
+def block_text(nodes: Column, paras: Column, product: str | None = None,
+               version: str | None = None) -> Column:
+    return clean_block_text(block_text_raw(nodes, paras), product, version)
 
 
 # -- lists --------------------------------------------------------------------
@@ -257,12 +259,13 @@ def page_document(parsed: DataFrame, options: list[str] = ("text", "table", "lis
     )
 
 
-def page_document_full(parsed: DataFrame, header_col: str = "url") -> DataFrame:
+def page_document_full(parsed: DataFrame, header_col: str = "url", product: str | None = None,
+                       version: str | None = None) -> DataFrame:
     """Second generation document: cleaned text -> URL spacing -> entity
     spacing -> punctuation -> filler sentences; then bullets; then table
     text; non-empty parts blank-line joined; empty pages dropped; with a
     ``===== FILE: <name> =====`` header for the processed corpus."""
-    t = block_text(F.col("nodes"), F.col("paras"))
+    t = block_text(F.col("nodes"), F.col("paras"), product, version)
     t = tx.space_before_url(t)
     t = tx.space_entities(t)
     t = tx.fix_punctuation_spacing(t)

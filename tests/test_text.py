@@ -10,7 +10,7 @@ from docweave.functions import text as tx
 EDGE = ["", "   ", " x ", "café crème", "the the cat", "one two one two three",
         "a b c d e f a b c d e f", "3.14", "Hello , world !x", "visit ahttp://x.org now",
         "Did you know this is a test sentence? Yes it is a fine sentence here.",
-        "Back Forward GEO Help page", "Wait... please accept our apologies."]
+        "Back Forward Acme Help page", "Wait... please accept our apologies."]
 
 
 def _run(spark, fn):
@@ -42,9 +42,13 @@ def test_drop_filler_sentences(spark):
 
 
 def test_strip_fillers_and_ellipsis(spark):
-    out = _run(spark, lambda c: tx.collapse_ellipsis(tx.strip_fillers(c)))
+    out = _run(spark, lambda c: tx.collapse_ellipsis(tx.strip_fillers(c, "Acme", "8.09")))
     assert out[11].strip() == "page"
     assert out[12] == "Wait. "
+    plain = _run(spark, tx.strip_fillers)  # without a product only generic phrases go
+    assert plain[11].strip() == "Acme Help page"
+    df = spark.createDataFrame([("Acme Help 8.09 % intro. End of search results.",)], "t string")
+    assert df.select(tx.strip_fillers(F.col("t"), "Acme", "8.09")).first()[0].strip() == "intro."
 
 
 def test_truncate_title(spark):
