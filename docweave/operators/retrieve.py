@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import vectors as V
-from docweave.plans.topk import knn
+from docweave.plans.topk import knn, knn_routed
 
 EMBED_DIM = 512
 
@@ -67,10 +67,18 @@ def retrieve_topk(questions: DataFrame, chunks: DataFrame, k: int = 4, *,
 
 
 def knn_per_document(queries: DataFrame, base: DataFrame, k: int, doc_col: str, *,
-                     q_id: str, q_vec: str, b_id: str, b_vec: str) -> DataFrame:
-    """One index per document: top-``k`` within each (query, document)."""
-    return (knn(queries, base, k, q_id=q_id, q_vec=q_vec, b_id=b_id, b_vec=b_vec, group=doc_col)
-            .withColumnRenamed("score", "dist"))
+                     q_id: str, q_vec: str, b_id: str, b_vec: str,
+                     routes: DataFrame | None = None) -> DataFrame:
+    """One index per document: top-``k`` within each (query, document). With
+    ``routes`` (``(q_id, doc)`` pairs) only the routed documents of each
+    query are searched, in skew-split cogroup cells; without, every document
+    answers every query (meant for a bounded number of documents)."""
+    if routes is not None:
+        hits = knn_routed(queries, base, routes, k, q_id=q_id, q_vec=q_vec, b_id=b_id, b_vec=b_vec,
+                          group=doc_col, per_group=True)
+    else:
+        hits = knn(queries, base, k, q_id=q_id, q_vec=q_vec, b_id=b_id, b_vec=b_vec, group=doc_col)
+    return hits.withColumnRenamed("score", "dist")
 
 
 def document_vector(chunks: DataFrame, doc_col: str, vec_col: str) -> DataFrame:
@@ -88,20 +96,16 @@ def route_then_rerank(queries: DataFrame, chunks: DataFrame, *, q_id: str, q_vec
                       c_id: str, c_vec: str, doc_col: str, n_docs: int = 10,
                       top_n: int = 5) -> DataFrame:
     """Route each query to its ``n_docs`` nearest documents (by document
-    vector), then re-score chunks of those documents by exact cosine and keep
-    ``top_n``. The re-score candidates come from a per-(query, document)
-    top-``top_n``, which provably contains the answer, so no query x chunk
-    pairs are materialised."""
+    vector), then re-score only the chunks of those documents by exact cosine
+    and keep ``top_n``. The second stage scores routed (query, document)
+    pairs only, in cogroup cells split by per-document counts, so neither the
+    number of documents nor one huge document blows up the work."""
     docs = document_vector(chunks, doc_col, c_vec)
     routed = (knn(queries, docs, n_docs, q_id=q_id, q_vec=q_vec, b_id=doc_col, b_vec="doc_vec")
-              .select("q_id", F.col("b_id").alias(doc_col)))
-    per_doc = knn(queries, chunks, top_n, q_id=q_id, q_vec=q_vec, b_id=c_id, b_vec=c_vec,
-                  group=doc_col, metric="cosine")
-    kept = per_doc.join(routed, ["q_id", doc_col], "left_semi")
-    from pyspark.sql import Window
-    w = Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("b_id"))
-    return (kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
-            .select("q_id", F.col("b_id").alias(c_id), doc_col, F.col("score").alias("cosine"), "rank"))
+              .select(F.col("q_id").alias(q_id), F.col("b_id").alias(doc_col)))
+    hits = knn_routed(queries, chunks, routed, top_n, q_id=q_id, q_vec=q_vec, b_id=c_id,
+                      b_vec=c_vec, group=doc_col, metric="cosine")
+    return hits.select("q_id", F.col("b_id").alias(c_id), doc_col, F.col("score").alias("cosine"), "rank")
 
 
 def cosine_pair(a: Column, b: Column) -> Column:

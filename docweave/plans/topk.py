@@ -103,9 +103,10 @@ def _partial_topk(qm, qids, bm, bids, k, metric, exclude_self):
     kk = min(bm.shape[0], k + _MARGIN)
     bsq = (bm * bm).sum(1)
     bnorm = np.sqrt(bsq)
-    for start in range(0, len(qm), 1024):
-        q = qm[start:start + 1024]
-        qi = qids[start:start + 1024]
+    step = max(1, min(1024, (1 << 23) // max(1, bm.shape[0])))  # <= 64 MiB per score block
+    for start in range(0, len(qm), step):
+        q = qm[start:start + step]
+        qi = qids[start:start + step]
         if metric == "l2":
             approx = (q * q).sum(1)[:, None] + bsq[None, :] - 2.0 * (q @ bm.T)
         else:  # cosine: smaller is better on the negated similarity
@@ -301,3 +302,57 @@ def radius_components_edges(vectors: DataFrame, radius: float, *, id_col: str, v
 
     return (a.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(cell, schema)
             .distinct())
+
+
+def knn_routed(queries: DataFrame, base: DataFrame, routes: DataFrame, k: int, *, q_id: str,
+               q_vec: str, b_id: str, b_vec: str, group: str, metric: str = "l2",
+               per_group: bool = False, base_block: int = B_BLOCK,
+               query_block: int = Q_BLOCK) -> DataFrame:
+    """Exact top-``k`` of the base rows whose ``group`` is routed to each query
+    (``routes``: ``(q_id, group)`` pairs); with ``per_group`` the top-k is kept
+    per (query, group), otherwise over all routed groups.
+
+    Only routed pairs are scored. Work is cut into cogroup cells keyed by
+    (group, base sub-block, query sub-block): a group with ``n`` base rows
+    gets ``ceil(n / base_block)`` sub-blocks and its routed queries
+    ``ceil(m / query_block)`` sub-blocks, both from per-group counts, so a hot
+    group is spread over many tasks and no cell grows with the data."""
+    qs = queries.select(F.col(q_id).cast("long").alias("q_id"), _wire(queries, q_vec).alias("q_vec"))
+    bs = base.select(F.col(b_id).cast("long").alias("b_id"), _wire(base, b_vec).alias("b_vec"),
+                     F.col(group).alias("grp")).filter(F.col("b_vec").isNotNull())
+    rt = routes.select(F.col(q_id).cast("long").alias("q_id"), F.col(group).alias("grp")).distinct()
+    grp_type = base.schema[group].dataType
+    bcount = bs.groupBy("grp").agg(F.count(F.lit(1)).alias("nb"))
+    qcount = rt.groupBy("grp").agg(F.count(F.lit(1)).alias("nq"))
+    sizes = (bcount.join(qcount, "grp")
+             .select("grp", F.ceil(F.col("nb") / base_block).cast("int").alias("n_sub"),
+                     F.ceil(F.col("nq") / query_block).cast("int").alias("n_qb")))
+    b2 = (bs.join(sizes, "grp")
+          .withColumn("sub", F.pmod(F.xxhash64("b_id"), F.col("n_sub")).cast("int"))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_qb") - 1))))
+    q2 = (rt.join(sizes, "grp").join(qs, "q_id")
+          .withColumn("qb", F.pmod(F.xxhash64("q_id"), F.col("n_qb")).cast("int"))
+          .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1))))
+    schema = T.StructType([T.StructField("q_id", T.LongType()), T.StructField("b_id", T.LongType()),
+                           T.StructField("grp", grp_type), T.StructField("score", T.DoubleType())])
+
+    def cell(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(bpdf) == 0:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        qm = np.stack(qpdf["q_vec"].to_numpy()).astype(np.float64)
+        bm = np.stack(bpdf["b_vec"].to_numpy()).astype(np.float64)
+        a, b, s = _partial_topk(qm, qpdf["q_id"].to_numpy(dtype=np.int64), bm,
+                                bpdf["b_id"].to_numpy(dtype=np.int64), k, metric, False)
+        out = pd.DataFrame({"q_id": a, "b_id": b, "score": s})
+        out["grp"] = bpdf["grp"].iloc[0]
+        return out[["q_id", "b_id", "grp", "score"]]
+
+    cands = (q2.select("grp", "sub", "qb", "q_id", "q_vec").groupBy("grp", "sub", "qb")
+             .cogroup(b2.select("grp", "sub", "qb", "b_id", "b_vec").groupBy("grp", "sub", "qb"))
+             .applyInPandas(cell, schema))
+    part = ["q_id", "grp"] if per_group else ["q_id"]
+    w = Window.partitionBy(*part).orderBy(F.col("score").asc(), F.col("b_id").asc())
+    ranked = cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if metric == "cosine":
+        ranked = ranked.withColumn("score", -F.col("score"))
+    return ranked.withColumnRenamed("grp", group)

@@ -87,3 +87,29 @@ def test_radius_components(spark):
     for i, _ in pts:
         comps.setdefault(find(i), set()).add(i)
     assert sorted(map(sorted, comps.values())) == [[0, 1, 2], [3, 4], [5]]
+
+
+def test_routed_knn_with_split_hot_group(spark, data):
+    from docweave.plans.topk import knn_routed
+    base, qs = data
+    groups = [0 if i < 200 else 1 + i % 5 for i in range(len(base))]  # group 0 holds 2/3 of rows
+    bdf = spark.createDataFrame([(i, v.tolist(), g) for i, (v, g) in enumerate(zip(base, groups))],
+                                "b_id long, b_vec array<float>, g int")
+    qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qs)], "q_id long, q_vec array<float>")
+    routes_l = [(q, g) for q in range(len(qs)) for g in ([0, 1 + q % 5] if q % 2 else [2 + q % 4])]
+    routes = spark.createDataFrame(routes_l, "q_id long, g int")
+    for per_group in (False, True):
+        got = knn_routed(qdf, bdf, routes, 3, q_id="q_id", q_vec="q_vec", b_id="b_id", b_vec="b_vec",
+                         group="g", per_group=per_group, base_block=17, query_block=4).collect()
+        res = {}
+        for r in sorted(got, key=lambda r: (r.q_id, r.g if per_group else 0, r["rank"])):
+            res.setdefault((r.q_id, r.g) if per_group else r.q_id, []).append(r.b_id)
+        for q in range(len(qs)):
+            gs = [g for qq, g in routes_l if qq == q]
+            if per_group:
+                for g in gs:
+                    sub = {i: v.astype(np.float64) for i, v in enumerate(base) if groups[i] == g}
+                    assert res[(q, g)] == _brute({q: qs[q].astype(np.float64)}, sub, 3)[q]
+            else:
+                sub = {i: v.astype(np.float64) for i, v in enumerate(base) if groups[i] in gs}
+                assert res[q] == _brute({q: qs[q].astype(np.float64)}, sub, 3)[q]
