@@ -17,9 +17,16 @@ MODEL_NAME = "default"
 
 
 def q_scan_pages(spark, sf):
-    p = table(spark, sf, "pages")
-    return p.select("page_id", "url", P.base_name(F.col("url")).alias("page_name"),
-                    F.length("html").alias("n_chars"))
+    """The pages table written as a folder tree of text files (one folder per
+    page), then scanned recursively as binary files with an extension glob
+    and decoded in one pass."""
+    folder = scratch_dir(spark, "page_files")
+    table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(folder)
+    scanned = P.decode_quarantine(SRC.scan_pages(spark, folder, ("txt",)))
+    return scanned.select(
+        F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("long").alias("page_id"),
+        F.col("length").alias("n_bytes"), "status",
+        F.length(F.regexp_replace("text", "\n$", "")).alias("n_chars"))
 
 
 def q_scan_text_lines(spark, sf):
@@ -151,7 +158,7 @@ _QA = f"""{_MSG},
          WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 ORACLE = {
-    "scan_pages": f"""SELECT page_id, url, string_split({_PATH}, '/')[-1] AS page_name,
+    "scan_pages": """SELECT page_id, CAST(strlen(html) + 1 AS BIGINT) AS n_bytes, 'ok' AS status,
        CAST(length(html) AS INTEGER) AS n_chars FROM pages""",
     "scan_text_lines": f"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no,
        regexp_replace(l[i], '^{_WS}+|{_WS}+$', '', 'g') AS line
