@@ -50,7 +50,7 @@ def evaluate_answers(log: DataFrame, expected: DataFrame, embedder: PipelineMode
     bleu = LX.bleu(rows.select("log_id", "expected_answer", "response"), "log_id",
                    "expected_answer", "response")
     scored = (rows.join(bleu, "log_id")
-              .withColumn("rouge", LX.rouge_l(F.col("expected_answer"), F.col("response")))
+              .withColumn("rouge", LX.rouge_l(F.col("expected_answer"), F.col("response"), stem=True))
               .withColumn("rouge", F.when((F.col("expected_answer") == "") | (F.col("response") == ""),
                                           F.lit(0.0)).otherwise(F.col("rouge"))))
     r_vec = R.embed_text(embedder, scored, "response", "r_vec")

@@ -75,7 +75,7 @@ def q_bleu(spark, sf):
 def q_rouge_l(spark, sf):
     p = qa_pairs(spark, sf)
     return p.select("session_id", "turn",
-                    F.round(LX.rouge_l(F.col("question"), F.col("answer")), 6).alias("rouge_l"))
+                    F.round(LX.rouge_l(F.col("question"), F.col("answer"), stem=True), 6).alias("rouge_l"))
 
 
 QUERIES = {
