@@ -236,8 +236,12 @@ def rouge_tokens(s: str, stem: bool = False) -> list[str]:
     return toks
 
 
+# Suffixes of the light stemmer, tried in this order.
+STEM_SUFFIXES = ("ational", "ization", "fulness", "iveness", "ing", "edly", "ed", "ly", "es", "s")
+
+
 def _light_stem(t: str) -> str:
-    for suf in ("ational", "ization", "fulness", "iveness", "ing", "edly", "ed", "ly", "es", "s"):
+    for suf in STEM_SUFFIXES:
         if t.endswith(suf) and len(t) - len(suf) >= 3:
             return t[: -len(suf)]
     return t

@@ -185,3 +185,35 @@ SELECT lens.doc_id, round(CASE WHEN r_len = 0 OR c_len = 0 OR coalesce(n_pos, 0)
   ELSE (CASE WHEN c_len > r_len THEN 1.0 ELSE exp(1 - r_len / c_len) END) * exp(slog / 4) END, 6) AS bleu
 FROM lens LEFT JOIN lg USING (doc_id)""",
 }
+
+
+def _rouge_tokens_sql(x: str) -> str:
+    """ROUGE tokens in SQL: lower-case ASCII alphanumeric runs, light suffix
+    stemmer on tokens longer than 3 chars (same order as ``_light_stem``)."""
+    toks = f"list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
+    cases = " ".join(
+        f"WHEN length(t) > 3 AND ends_with(t, '{suf}') AND length(t) - {len(suf)} >= 3 "
+        f"THEN left(t, length(t) - {len(suf)})"
+        for suf in LX.STEM_SUFFIXES)
+    return f"list_transform({toks}, lambda t: CASE {cases} ELSE t END)"
+
+
+ORACLE["rouge_l"] = f"""WITH RECURSIVE {_QA},
+  tk AS (SELECT session_id, turn, {_rouge_tokens_sql('question')} AS r, {_rouge_tokens_sql('answer')} AS c FROM qa),
+  -- iterate over the longer list, keep DP rows over the shorter one
+  p AS (SELECT session_id, turn, len(r) AS nr, len(c) AS nc,
+               CASE WHEN len(r) >= len(c) THEN r ELSE c END AS a,
+               CASE WHEN len(r) >= len(c) THEN c ELSE r END AS b FROM tk),
+  dp(session_id, turn, i, row) AS (
+    SELECT session_id, turn, 0, list_transform(range(0, len(b) + 1), lambda x: 0) FROM p
+    UNION ALL
+    SELECT dp.session_id, dp.turn, dp.i + 1,
+           list_concat([0], list_transform(range(1, len(p.b) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+             lambda jj: CASE WHEN p.a[dp.i + 1] = p.b[jj] THEN dp.row[jj] + 1 ELSE dp.row[jj + 1] END))))
+    FROM dp JOIN p USING (session_id, turn) WHERE dp.i < len(p.a)),
+  lcs AS (SELECT dp.session_id, dp.turn, dp.row[len(dp.row)] AS l, p.nr, p.nc
+          FROM dp JOIN p USING (session_id, turn) WHERE dp.i = len(p.a))
+SELECT session_id, turn,
+       round(CASE WHEN l = 0 THEN 0.0 ELSE 2 * (l / nc) * (l / nr) / ((l / nc) + (l / nr)) END, 6) AS rouge_l
+FROM lcs"""
+
