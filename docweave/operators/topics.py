@@ -18,7 +18,8 @@ from docweave.session import reliable_checkpoint
 def tfidf_vectors(weights: DataFrame, id_col: str, vocab: DataFrame,
                   ids: DataFrame | None = None) -> DataFrame:
     """Long-form ``(id, term, weight)`` -> dense ``features`` vectors over the
-    vocabulary in term order (bounded by the vocabulary size). With ``ids``,
+    vocabulary in term order. The vocabulary is a bounded max-features list
+    (it is broadcast and sets the vector length). With ``ids``,
     documents without any vocabulary term get a zero vector."""
     # the vocabulary is bounded (max_features), so one small window is fine
     vidx = vocab.select("term", F.dense_rank().over(Window.orderBy("term")).alias("ix"))
@@ -83,12 +84,15 @@ def topic_tree(items: DataFrame, topic_col: str = "topic", sub_col: str = "sub")
 
 
 def lda_topics(docs: DataFrame, text_col: str, k: int = 5, max_iter: int = 10, seed: int = 42,
-               top_words: int = 10) -> DataFrame:
+               top_words: int = 10, vocab_size: int = 1 << 18) -> DataFrame:
     """LDA over topic-token counts (de-accented alphabetic tokens, stop words
     out; one document per row, not one joined string); top words per topic:
     ``(topic, rank, term, weight)``."""
     toks = docs.select(tx.topic_tokens(F.col(text_col)).alias("tokens"))
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0).fit(toks)
+    # the vocabulary (model state, at most vocab_size terms) is what gets
+    # broadcast to label the topic words
+    cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0,
+                         vocabSize=vocab_size).fit(toks)
     feats = cv.transform(toks).cache()
     model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features").fit(feats)
     feats.unpersist()  # the fitted model holds what the topics need
