@@ -120,19 +120,17 @@ def list_items(lists: Column) -> Column:
 
 
 def _dedupe_ci(items: Column) -> Column:
-    """Keep the first item of each lower(trim(item)) key, in order."""
-    init = F.struct(F.array().cast("array<string>").alias("keys"),
-                    F.array().cast("array<string>").alias("out"))
-    return F.aggregate(
-        items, init,
-        lambda acc, x: F.when(
-            F.array_contains(acc["keys"], F.lower(tx.ustrip(x))), acc
-        ).otherwise(F.struct(
-            F.array_append(acc["keys"], F.lower(tx.ustrip(x))).alias("keys"),
-            F.array_append(acc["out"], x).alias("out"),
-        )),
-        lambda acc: acc["out"],
-    )
+    """Keep the first item of each lower(trim(item)) key, in order. Sorting
+    (key, position) pairs makes it O(n log n): the first pair of each key run
+    is the first occurrence; its positions, sorted, pick the kept items."""
+    srt = F.array_sort(F.transform(items, lambda x, i: F.struct(
+        F.lower(tx.ustrip(x)).alias("k"), i.alias("i"))))
+    prev = F.concat(F.array(F.lit(None).cast("struct<k:string,i:int>")),
+                    F.slice(srt, 1, F.greatest(F.size(srt) - 1, F.lit(0))))
+    pairs = F.arrays_zip(srt.alias("cur"), prev.alias("prev"))
+    firsts = F.filter(F.transform(pairs, lambda p: F.when(
+        p["prev"].isNull() | (p["prev"]["k"] != p["cur"]["k"]), p["cur"]["i"])), lambda v: v.isNotNull())
+    return F.transform(F.array_sort(firsts), lambda j: F.get(items, j))
 
 
 def list_bullets(lists: Column, stray_items: Column) -> Column:

@@ -84,3 +84,19 @@ def test_grid_drops_empty_and_navigation_tables(spark):
     df = spark.createDataFrame([(1, "/p.htm", html)], "page_id long, url string, html string")
     g = H.parse_pages(df).select(H.tables_as_grids(F.col("tables")).alias("g")).first().g
     assert g.split("\n") == ["+---+---+", "| A | B |", "+===+===+", "| 1 |   |", "+---+---+"]
+
+
+def test_dedupe_first_wins_random(spark):
+    import random
+    random.seed(4)
+    words = ["a", "A", " a", "b", "B ", "c", "Ab", "aB"]
+    lists = [[random.choice(words) for _ in range(random.randint(0, 12))] for _ in range(60)]
+    df = spark.createDataFrame([(i, l) for i, l in enumerate(lists)], "i int, items array<string>")
+    got = {r.i: r.o for r in df.select("i", H._dedupe_ci(F.col("items")).alias("o")).collect()}
+    for i, l in enumerate(lists):
+        seen, exp = set(), []
+        for x in l:
+            if x.strip().lower() not in seen:
+                seen.add(x.strip().lower())
+                exp.append(x)
+        assert got[i] == exp, (l, got[i])
