@@ -63,12 +63,9 @@ def visible_text(nodes: Column, separator: str = "\n", strip: bool = True) -> Co
     return F.array_join(texts, separator)
 
 
-def _nav_paras(paras: Column, full: bool) -> Column:
-    """Indexes (0-based) of paragraphs whose text matches a navigation pattern."""
-    flagged = F.transform(
-        paras, lambda p, i: F.when(tx.nav_match(F.array_join(p, ""), full), i)
-    )
-    return F.filter(flagged, lambda i: i.isNotNull())
+def _nav_flags(paras: Column, full: bool) -> Column:
+    """One boolean per paragraph: its text matches a navigation pattern."""
+    return F.transform(paras, lambda p: tx.nav_match(F.array_join(p, ""), full))
 
 
 def paragraphs(paras: Column, min_len: int = 20) -> Column:
@@ -87,8 +84,8 @@ def paragraphs(paras: Column, min_len: int = 20) -> Column:
 def block_text_raw(nodes: Column, paras: Column) -> Column:
     """Second generation raw text: text nodes outside navigation paragraphs,
     space-joined and whitespace-normalised."""
-    nav = _nav_paras(paras, full=True)
-    kept = F.filter(nodes, lambda n: (n["p"] < 0) | ~F.array_contains(nav, n["p"]))
+    nav = _nav_flags(paras, full=True)  # indexed by the node's paragraph number
+    kept = F.filter(nodes, lambda n: (n["p"] < 0) | ~F.get(nav, n["p"]))
     return tx.normalize_whitespace(F.array_join(F.transform(kept, lambda n: n["text"]), " "))
 
 
