@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as tx
 from docweave.operators import html as H
 from docweave.operators import pages as P
-from docweave.registry.sqlfrag import WS, sql_list
+from docweave.registry.sqlfrag import WS
 from docweave.session import table
 
 
