@@ -105,24 +105,51 @@ def lda_topics(docs: DataFrame, text_col: str, k: int = 5, max_iter: int = 10, s
             .join(F.broadcast(vocab), "ix").drop("ix"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 100,
-                         checkpoint_every: int = 3) -> DataFrame:
-    """Min-label propagation: ``(id, component)`` with the smallest member id
-    as the component. Lineage is cut with reliable checkpoints in the shared
-    checkpoint folder; stops when no label changes."""
-    e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    labels = nodes.select(F.col("id"), F.col("id").alias("comp"))
-    for it in range(max_iter):
-        prop = (e.join(labels, e["src"] == labels["id"]).select(F.col("dst").alias("id"), "comp")
-                .unionByName(labels).groupBy("id").agg(F.min("comp").alias("comp")))
-        if (it + 1) % checkpoint_every == 0:
-            prop = reliable_checkpoint(prop)
-        changed = prop.join(labels.withColumnRenamed("comp", "old"), "id").filter(
-            F.col("comp") != F.col("old")).limit(1).count()
-        labels = prop
+def _canonical(df: DataFrame, x: str, y: str) -> DataFrame:
+    return (df.filter(F.col(x) != F.col(y))
+            .select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct())
+
+
+def _both_ways(e: DataFrame) -> DataFrame:
+    return e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+        e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64,
+                         checkpoint_every: int = 1) -> DataFrame:
+    """``(id, comp)``: each node labelled by the smallest id of its component.
+
+    Large-Star / Small-Star rounds (Kiveris et al., "Connected Components in
+    MapReduce and Beyond", 2014): every round is a few joins and partial
+    ``min`` aggregates, and the number of rounds grows with log^2 of the
+    component size, not with its diameter (a long chain converges quickly).
+    The edge set is cut with reliable checkpoints in the shared folder; the
+    loop stops when a round leaves it unchanged."""
+    e = _canonical(edges.select("src", "dst"), "src", "dst")
+    for r in range(max_rounds):
+        both = _both_ways(e)
+        # large star: link every larger neighbour of u to the smallest of u's neighbourhood
+        m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = _canonical(both.filter(F.col("v") > F.col("u")).join(m, "u")
+                           .select(F.col("v").alias("x"), F.col("m").alias("y")), "x", "y")
+        # small star: link u and its smaller neighbours to the smallest of them
+        low = _both_ways(large).filter(F.col("v") < F.col("u"))
+        ms = low.groupBy("u").agg(F.min("v").alias("m"))
+        small = (low.join(ms, "u").select(F.col("v").alias("x"), F.col("m").alias("y"))
+                 .unionByName(ms.select(F.col("u").alias("x"), F.col("m").alias("y"))))
+        new_e = _canonical(small, "x", "y")
+        if (r + 1) % checkpoint_every == 0:
+            new_e = reliable_checkpoint(new_e)
+        # one job: any edge present on only one side of the round
+        changed = (new_e.withColumn("__n", F.lit(1)).join(e.withColumn("__o", F.lit(1)), ["a", "b"], "full_outer")
+                   .filter(F.col("__n").isNull() | F.col("__o").isNull()).limit(1).count())
+        e = new_e
         if changed == 0:
             break
-    return labels
+    # converged: stars centred on each component's minimum
+    centre = _both_ways(e).groupBy("u").agg(F.min("v").alias("mv"))
+    return (nodes.select("id").distinct().join(centre, nodes["id"] == centre["u"], "left")
+            .select("id", F.least(F.col("id"), F.coalesce(F.col("mv"), F.col("id"))).alias("comp")))
 
 
 def density_clusters(vectors: DataFrame, id_col: str, vec_col: str, radius: float,

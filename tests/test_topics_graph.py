@@ -51,3 +51,29 @@ def test_vis_graph(spark):
     nodes, edges = G.vis_graph(df, "html", "pid")
     assert sorted((r.id, r.label) for r in nodes.collect()) == [("x", "T"), ("y", "Type")]
     assert [(r.src, r.dst) for r in edges.collect()] == [("x", "y")]
+
+
+def test_connected_components_long_chain_and_random(spark):
+    import random
+    n = 300
+    chain = [(i, i + 1) for i in range(0, n - 1)]  # diameter n-1
+    random.seed(2)
+    extra = [(random.randrange(n, 2 * n), random.randrange(n, 2 * n)) for _ in range(250)]
+    nodes = spark.createDataFrame([(i,) for i in range(2 * n)], "id long")
+    edges = spark.createDataFrame(chain + extra, "src long, dst long")
+    got = {r.id: r.comp for r in TP.connected_components(nodes, edges).collect()}
+    parent = list(range(2 * n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    for a, b in chain + extra:
+        ra, rb = find(a), find(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    comp_min = {}
+    for i in range(2 * n):
+        comp_min.setdefault(find(i), []).append(i)
+    exp = {i: min(comp_min[find(i)]) for i in range(2 * n)}
+    assert got == exp
