@@ -179,3 +179,26 @@ def project_2d(vectors: DataFrame, vec_col: str) -> DataFrame:
     model = PCA(k=2, inputCol="__v", outputCol="__p").fit(v)
     out = model.transform(v).withColumn("__a", vector_to_array("__p"))
     return out.withColumn("x", F.col("__a")[0]).withColumn("y", F.col("__a")[1]).drop("__v", "__p", "__a")
+
+
+def knowledge_tree(questions: DataFrame, id_col: str, text_col: str, vocab_size: int = 50,
+                   k_max: int = 6, seed: int = 42, restarts: int = 10) -> DataFrame:
+    """Questions -> TF-IDF over the top ``vocab_size`` terms -> K-means
+    (k = min(k_max, n), best of ``restarts``) -> each cluster named by its
+    top centroid term -> tree of topic -> distinct first keywords of its
+    questions (``"No Data"`` when there are no questions)."""
+    from docweave.operators import lexical as LX
+    vocab = LX.top_terms(questions, text_col, vocab_size)
+    w = LX.tfidf_weights(questions, id_col, text_col, vocab)
+    feats = tfidf_vectors(w, id_col, vocab, ids=questions)
+    n_q = questions.limit(1).count()
+    if n_q == 0:
+        return topic_tree(questions.select(F.lit(None).cast("string").alias("topic"),
+                                           F.lit(None).cast("string").alias("sub")))
+    assign, _ = kmeans_topics(feats, k_max, seed, restarts)
+    names = cluster_names(w, id_col, assign.select(id_col, "cluster"))
+    items = (assign.select(id_col, "cluster").join(names.select("cluster", "name"), "cluster", "left")
+             .join(questions.select(id_col, text_col), id_col)
+             .select(tx.keyword_head(F.coalesce(F.col("name"), F.lit("")), 3).alias("topic"),
+                     tx.keyword_head(F.col(text_col), 1).alias("sub")))
+    return topic_tree(items)

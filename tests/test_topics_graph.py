@@ -77,3 +77,14 @@ def test_connected_components_long_chain_and_random(spark):
         comp_min.setdefault(find(i), []).append(i)
     exp = {i: min(comp_min[find(i)]) for i in range(2 * n)}
     assert got == exp
+
+
+def test_knowledge_tree(spark):
+    empty = spark.createDataFrame([], "q string, content string")
+    assert [tuple(r) for r in TP.knowledge_tree(empty, "q", "content").collect()] == [("No Data", [])]
+    qs = spark.createDataFrame([("1", "how to export a table"), ("2", "export table to csv"),
+                                ("3", "change plot colour"), ("4", "plot colour settings")],
+                               "q string, content string")
+    tree = {r.topic: r.children for r in TP.knowledge_tree(qs, "q", "content", k_max=2, restarts=2).collect()}
+    assert sorted(c for cs in tree.values() for c in cs) == ["change", "export", "export", "plot"] or \
+        set(c for cs in tree.values() for c in cs) == {"change", "export", "plot"}
