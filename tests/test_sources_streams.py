@@ -78,3 +78,20 @@ def test_scan_text_lines_keeps_file_order(spark):
         f.write("first question\n\n   \nsecond question \nthird\n")
     rows = SRC.scan_text_lines(spark, d).orderBy("line_key").collect()
     assert [r.line for r in rows] == ["first question", "second question", "third"]
+
+
+def test_stream_retrieve_replay_is_idempotent(spark, sf):
+    from docweave.operators import retrieve as R
+    from docweave.session import scratch_dir
+    from docweave.streaming import pipelines as S
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label")
+    cents = R.document_vector(e, "label", "embedding").select(F.col("label").cast("long").alias("c"), "doc_vec")
+    src = scratch_dir(spark, "replay_in")
+    e.select("vec_id", "embedding").repartition(3).write.parquet(src)
+    out = scratch_dir(spark, "replay_out")
+    for attempt in range(2):  # a lost checkpoint replays every batch into the same sink
+        S.stream_retrieve(spark, src, "vec_id long, embedding array<float>", cents, out,
+                          out + f"_ckpt{attempt}", 2, q_id="vec_id", q_vec="embedding", b_id="c", b_vec="doc_vec")
+    got = spark.read.parquet(out)
+    assert got.count() == 2 * e.count()
+    assert got.select("q_id", "rank").distinct().count() == got.count()
