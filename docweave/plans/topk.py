@@ -1,8 +1,9 @@
 """Exact k-nearest-neighbour join without emitting all pairs.
 
-Strategy (chosen from one cheap ``count``):
+Strategy (chosen from one bounded collect of at most ``cap + 1`` query rows,
+``cap = max_broadcast_bytes / (8 * dim)``):
 
-* **broadcast queries** when ``n_queries * dim * 4`` is under
+* **broadcast queries** when ``n_queries * dim * 8`` is under
   ``max_broadcast_bytes``: the query matrix is broadcast once and every base
   partition computes, per Arrow batch, a partial top-k per query with one
   matrix product. Only ``k`` candidates per query per batch leave the task.
@@ -14,7 +15,9 @@ Strategy (chosen from one cheap ``count``):
 Either way the final ``row_number() <= k`` runs over at most
 ``k * batches`` candidates per query, and Spark plans it with a partial
 ``WindowGroupLimit`` before the shuffle. Candidates are re-scored exactly in
-float64 (difference form) so ties break by id exactly as a SQL engine would.
+float64 (difference form, summed left to right) so ties break by id exactly
+as a SQL engine would. ``knn_routed`` scores only routed (query, group) pairs
+and ``radius_components_edges`` builds radius-graph components per block.
 """
 
 from __future__ import annotations
