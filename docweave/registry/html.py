@@ -21,10 +21,10 @@ def _parsed(spark, sf, body_only=False):
 
 def table_pages(spark, sf):
     """One generated help page per part row: a two-column limits table
-    (header, two value rows, one row with a blank cell) and, for parts whose
-    size is a multiple of 5, a Back/Forward navigation table first."""
+    (header, two value rows, one row with a blank cell) and, for parts of
+    size 25 or more, a Back/Forward navigation table first."""
     p = table(spark, sf, "part")
-    nav = F.when(F.col("p_size") % 5 == 0,
+    nav = F.when(F.col("p_size") >= 25,
                  F.lit("<table><tr><td>Back</td><td>Forward</td></tr></table>")).otherwise(F.lit(""))
     html = F.concat(
         F.lit("<html><body><h1>"), F.col("p_name"), F.lit("</h1>"), nav,
@@ -165,7 +165,7 @@ def _decode(x: str) -> str:
     return (f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), "
             f"'&amp;', '&')")
 
-_TP = """tp AS (SELECT p_partkey AS page_id, p_size % 5 = 0 AS has_nav, p_type, CAST(p_size AS VARCHAR) AS size_s,
+_TP = """tp AS (SELECT p_partkey AS page_id, p_size >= 25 AS has_nav, p_type, CAST(p_size AS VARCHAR) AS size_s,
                p_brand, CAST(p_retailprice AS VARCHAR) AS price_s FROM part)"""
 
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
