@@ -2,8 +2,11 @@
 
 Every operator takes and returns DataFrames (or builds Columns); the heavy
 lifting runs as Catalyst expressions, joins, windows and aggregates. Python
-only runs inside Arrow-batched ``mapInPandas`` / ``pandas_udf`` helpers where
-the semantics need a real parser (HTML), a recursive splitter or an LCS.
+only runs inside Arrow-batched ``mapInArrow`` / ``applyInPandas`` /
+``pandas_udf`` helpers where the semantics need it: the HTML event
+collector, the recursive and sentence chunkers, per-row BLEU and ROUGE-L
+(LCS), and numpy block kernels for exact nearest neighbours and radius
+graphs.
 """
 
 from docweave.session import get_session, scratch_dir, table
