@@ -9,6 +9,6 @@ collector, the recursive and sentence chunkers, per-row BLEU and ROUGE-L
 graphs.
 """
 
-from docweave.session import get_session, scratch_dir, table
+from docweave.session import get_session, reliable_checkpoint, scratch_dir, ship_package, table
 
-__all__ = ["get_session", "scratch_dir", "table"]
+__all__ = ["get_session", "reliable_checkpoint", "scratch_dir", "ship_package", "table"]
