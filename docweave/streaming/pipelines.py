@@ -48,7 +48,10 @@ def stream_append_log(spark: SparkSession, in_dir: str, schema: str, out_dir: st
                       id_col: str, ts_col: str, watermark: str = "365 days",
                       max_files_per_trigger: int = 1) -> None:
     """Append records to ``out_dir``; a record id seen within the watermark is
-    dropped (replays and retries do not duplicate rows)."""
+    dropped (replays and retries do not duplicate rows). The watermark bounds
+    the de-duplication state: it must cover how far behind the newest record a
+    first delivery can arrive (records older than the watermark are treated as
+    late and dropped), so choose it from the source's ordering guarantees."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(in_dir))
     # the watermark needs an instant; wall-clock (NTZ) event times are read as
