@@ -7,9 +7,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.llm import debruijn as db
 from docweave.llm import decontaminate as dc
 from docweave.llm import exact_dedup as xd
 from docweave.llm import sentencepiece_codec as sp
+from docweave.llm import suffix_dedup as sd
 from docweave.llm import warc
 from docweave.session import scratch_dir, table
 
@@ -34,6 +36,12 @@ def op2_sentencepiece(spark: SparkSession, sf: str, model_path: str = TOKENIZER)
                         sp.ids_digest("ids").alias("ids_sha256"), F.col("exact").alias("round_trip"))
 
 
+def op4_debruijn(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return db.remove_repeated_words(docs).select("row.doc_id", "n_words", "n_removed",
+                                                 F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     path = scratch_dir(spark, "warc")
@@ -43,6 +51,12 @@ def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
         F.col("type").alias("record_type"), "refers_to")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return sd.remove_earlier_substrings(docs).select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                                                     F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return xd.exact_dedup(docs, "doc_id", "text", keep="max").withColumnRenamed("id", "doc_id")
@@ -51,7 +65,9 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_debruijn": op4_debruijn,
     "op7_warc": op7_warc,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -74,6 +90,17 @@ SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_
        sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(dw.w) AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op4_debruijn": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  g AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 34], ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+  r AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+  m AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM g SEMI JOIN r USING (h)),
+  t AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+  k AS (SELECT t.doc_id, count(m.p) AS n_removed, coalesce(string_agg(CASE WHEN m.p IS NULL THEN x END, ' ' ORDER BY t.p), '') AS kept
+        FROM t LEFT JOIN m USING (doc_id, p) GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
     "op7_warc": f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
   d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS first FROM p),
@@ -81,6 +108,20 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 SELECT page_id, payload_bytes, {_B32} AS payload_digest,
        CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to FROM q""",
+    "op8_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+  g AS (SELECT doc_id, s, substr(x, 2 * s + 1, 100) AS h
+        FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS s FROM d WHERE len(x) >= 100)),
+  f AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+  m AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM g JOIN f USING (h) WHERE doc_id > first),
+  t AS (SELECT doc_id, x, unnest(range(0, len(x) // 2)) AS p FROM d),
+  b AS (SELECT t.doc_id, t.p, m.p IS NOT NULL AS gone, substr(x, 2 * t.p + 1, 2) AS y FROM t LEFT JOIN m USING (doc_id, p)),
+  r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM b),
+  k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+               coalesce(string_agg(CASE WHEN NOT gone THEN y END, '' ORDER BY p), '') AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
