@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docweave.llm import debruijn as db
 from docweave.llm import decontaminate as dc
 from docweave.llm import exact_dedup as xd
+from docweave.llm import jaccard_join as jj
 from docweave.llm import sentencepiece_codec as sp
 from docweave.llm import suffix_dedup as sd
 from docweave.llm import warc
@@ -42,6 +43,11 @@ def op4_debruijn(spark: SparkSession, sf: str) -> DataFrame:
                                                  F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return jj.jaccard_components(docs).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     path = scratch_dir(spark, "warc")
@@ -66,6 +72,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_debruijn": op4_debruijn,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_warc": op7_warc,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
@@ -101,6 +108,17 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
         FROM t LEFT JOIN m USING (doc_id, p) GROUP BY t.doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)""",
+    "op5_jaccard_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+  l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+  r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+  m AS (SELECT a, min(b) AS first FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.first, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = w.doc_id""",
     "op7_warc": f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
   d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS first FROM p),
