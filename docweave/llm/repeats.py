@@ -40,8 +40,8 @@ from pyspark.sql import types as T
 
 from docweave.llm.common import col, shuffle_partitions, text_buffers
 
-BLOCK_BYTES = 4 << 20
-BLOCKS_PER_BUCKET = 16
+BLOCK_BYTES = 2 << 20
+BLOCKS_PER_BUCKET = 4
 CHUNK = 1 << 15
 _U = np.uint64
 _POS_BITS = 20
