@@ -11,6 +11,7 @@ from docweave.llm import debruijn as db
 from docweave.llm import decontaminate as dc
 from docweave.llm import exact_dedup as xd
 from docweave.llm import jaccard_join as jj
+from docweave.llm import quality_lm as ql
 from docweave.llm import sentencepiece_codec as sp
 from docweave.llm import suffix_dedup as sd
 from docweave.llm import warc
@@ -48,6 +49,13 @@ def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jj.jaccard_components(docs).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op6_quality_lm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    found = ql.QualityModel(docs, table(spark, sf, "labels")).classify(docs)
+    return found.select("row.doc_id", "row.lang", F.round("perplexity", 4).alias("perplexity"), F.round("threshold", 4).alias("threshold"),
+                        "rejected")
+
+
 def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     path = scratch_dir(spark, "warc")
@@ -73,6 +81,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_debruijn": op4_debruijn,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_quality_lm": op6_quality_lm,
     "op7_warc": op7_warc,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
