@@ -40,20 +40,21 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_unique(left: DataFrame, unique: DataFrame, key: str, weight: str, row_id: str) -> DataFrame:
+def join_unique(left: DataFrame, unique: DataFrame, key: str, weight: str) -> DataFrame:
     """Left join with a table that has one row per ``key``, safe for hot keys.
 
     ``weight`` is the number of left rows that a key meets. The ``HOT_KEYS``
     heaviest keys are broadcast (a bound that holds at any size), and rows that
-    met one are dealt out by ``row_id`` in the shuffle that joins the rest: any
-    other key holds less than 1 / HOT_KEYS of the rows. ``key`` must be a
-    string column in both; the columns of ``unique`` other than ``key`` are
-    added."""
+    met one, or whose key is null, are dealt out by a hash of the row in the
+    shuffle that joins the rest: any other key holds less than 1 / HOT_KEYS of
+    the rows. ``key`` must be a string column in both; the columns of
+    ``unique`` other than ``key`` are added."""
     extra = [c for c in unique.columns if c != key]
     hot = unique.orderBy(F.desc(weight), key).limit(HOT_KEYS)
     first = left.join(F.broadcast(hot.select(F.col(key), F.struct(*extra).alias("_hot"))), key, "left")
-    spread = F.when(F.col("_hot").isNotNull(), F.concat(F.lit("\u0001"), F.coalesce(F.col(row_id).cast("string"), F.lit(""))))
+    dealt = F.concat(F.lit("\u0001"), F.xxhash64(*left.columns).cast("string"))
+    spread = F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), dealt).otherwise(F.col(key))
     rest = unique.select(F.col(key).alias("_spread"), F.struct(*extra).alias("_rest"))
-    both = first.withColumn("_spread", F.coalesce(spread, F.col(key))).join(rest, "_spread", "left")
+    both = first.withColumn("_spread", spread).join(rest, "_spread", "left")
     found = F.coalesce("_hot", "_rest")
     return both.select(*left.columns, *[found[c].alias(c) for c in extra])

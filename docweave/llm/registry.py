@@ -11,6 +11,8 @@ from docweave.llm import debruijn as db
 from docweave.llm import decontaminate as dc
 from docweave.llm import exact_dedup as xd
 from docweave.llm import jaccard_join as jj
+from docweave.llm import language_id as li
+from docweave.llm import license_scan as ls
 from docweave.llm import quality_lm as ql
 from docweave.llm import sentencepiece_codec as sp
 from docweave.llm import suffix_dedup as sd
@@ -38,6 +40,18 @@ def op2_sentencepiece(spark: SparkSession, sf: str, model_path: str = TOKENIZER)
                         sp.ids_digest("ids").alias("ids_sha256"), F.col("exact").alias("round_trip"))
 
 
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Web pages with all evidence, and documents with text and source; one
+    row for each, ``doc_id`` or ``page_id`` being null."""
+    docs, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
+    evidence = li.page_evidence(pages).withColumn("kind", F.lit("page")).unionByName(
+        li.text_evidence(docs).withColumn("kind", F.lit("document")))
+    found = li.identify(evidence, li.fit_text_model(docs))
+    return found.select(F.when(F.col("kind") == "document", F.col("id")).alias("doc_id"),
+                        F.when(F.col("kind") == "page", F.col("id")).alias("page_id"),
+                        "lang", F.round("confidence", 3).alias("confidence"), "text_lang", "declared", "host")
+
+
 def op4_debruijn(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return db.remove_repeated_words(docs).select("row.doc_id", "n_words", "n_removed",
@@ -71,6 +85,12 @@ def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
                                                      F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return ls.scan_licenses(docs).select(F.col("id").alias("doc_id"), "kind", F.col("unit_no").cast("long").alias("unit_no"),
+                                         "license", F.round("dice", 4).alias("dice"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return xd.exact_dedup(docs, "doc_id", "text", keep="max").withColumnRenamed("id", "doc_id")
@@ -79,17 +99,22 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_language_id": op3_language_id,
     "op4_debruijn": op4_debruijn,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_lm": op6_quality_lm,
     "op7_warc": op7_warc,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 _B32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((h{k // 8} >> {35 - 5 * (k % 8)}) & 31 AS INTEGER), 1)" for k in range(32))
 
+_TEMPLATES = ", ".join("('{}', [{}])".format(name, ", ".join(f"'{g}'" for g in ls.template_bigrams(text)))
+                       for name, text in sorted(ls.TEMPLATES.items()))
+
 ORACLE = {
     "op1_decontaminate": f"""
 WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, {_AZ}), '{_WORD_CHARS}') AS w FROM benchmark),
@@ -149,6 +174,21 @@ WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)""",
+    "op9_license_scan": rf"""
+WITH tpl(name, grams) AS (VALUES {_TEMPLATES}),
+  d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  u AS (SELECT doc_id, 'line' AS kind, unnest(range(len(x))) AS unit_no, unnest(x) AS unit
+        FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM d)
+        UNION ALL
+        SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(x))), unnest(x) AS unit
+                       FROM (SELECT doc_id, string_split_regex(t, '\n[ \t\r]*\n') AS x FROM d)) WHERE contains(unit, chr(10))),
+  w AS (SELECT doc_id, kind, unit_no,
+               string_split(trim(regexp_replace(translate(unit, {_AZ}), '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')), ' ') AS w FROM u),
+  g AS (SELECT doc_id, kind, unit_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
+        FROM w WHERE len(w) > 1),
+  s AS (SELECT doc_id, kind, unit_no, name, len(list_intersect(g.grams, tpl.grams)) AS c, len(g.grams) + len(tpl.grams) AS n FROM g, tpl),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, unit_no ORDER BY 2.0 * c / n DESC, name) AS k FROM s WHERE 200 * c >= 80 * n)
+SELECT doc_id, kind, unit_no, name AS license, round(2.0 * c / n, 4) AS dice FROM r WHERE k = 1""",
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -59,7 +59,7 @@ def resolve_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     headers = records.select("id", "bytes", "payload_key")
     originals = (headers.filter(F.col("bytes") >= min_bytes).groupBy("payload_key")
                  .agg(F.min("id").alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    found = join_unique(records, originals, "payload_key", "n", "id")
+    found = join_unique(records, originals, "payload_key", "n")
     other = F.col("original").isNotNull() & ~F.col("original").eqNullSafe(F.col("id"))
     return found.withColumn("refers_to", F.when(other & (F.col("bytes") >= min_bytes), F.col("original"))).select(
         *records.columns, "refers_to")
@@ -150,7 +150,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                  .agg(F.min("id").alias("original"), F.max("own_bytes").alias("original_bytes")))
     originals = responses.join(uses, responses["record"] == uses["refers"]).select("refers", "original", "original_bytes", "n")
     joined = join_unique(records.withColumn("refers", F.coalesce("refers", F.concat(F.lit("\u0002"), "record"))),
-                         originals, "refers", "n", "id")
+                         originals, "refers", "n")
     return joined.select("id", "url", "type", "digest",
                          F.when(F.col("type") == "revisit", F.col("original_bytes")).otherwise(F.col("own_bytes")).alias("bytes"),
                          F.col("original").alias("refers_to"))
