@@ -1,23 +1,29 @@
 """Exact k-nearest-neighbour join without emitting all pairs.
 
-Strategy (chosen from one bounded collect of at most ``cap + 1`` query rows,
-``cap = max_broadcast_bytes / (8 * dim)``):
+Two ways to bring queries and base rows together:
 
 * **broadcast queries** when ``n_queries * dim * 8`` is under
-  ``max_broadcast_bytes``: the query matrix is broadcast once and every base
-  partition computes, per Arrow batch, a partial top-k per query with one
-  matrix product. Only ``k`` candidates per query per batch leave the task.
-* **block cogroup** otherwise: queries and base are hashed into ``Q x B``
-  blocks; cell ``(qb, bb)`` sees ``n_q/Q`` queries and ``n_b/B`` base rows,
-  and again emits only a partial top-k. Block sizes come from the counts, so
-  no cell grows with the data.
+  ``max_broadcast_bytes`` (checked by one collect of at most that size): every
+  base partition computes, per Arrow batch, a partial top-k per query. Only
+  ``k`` candidates per query per batch leave the task.
+* **block cogroup** beyond that bound, so that no query table ever passes
+  through the driver: queries and base are hashed into ``Q x B`` blocks; cell
+  ``(qb, bb)`` sees ``n_q/Q`` queries and ``n_b/B`` base rows and again emits
+  only a partial top-k. Block sizes come from the counts.
 
 Either way the final ``row_number() <= k`` runs over at most
 ``k * batches`` candidates per query, and Spark plans it with a partial
-``WindowGroupLimit`` before the shuffle. Candidates are re-scored exactly in
-float64 (difference form, summed left to right) so ties break by id exactly
-as a SQL engine would. ``knn_routed`` scores only routed (query, group) pairs
-and ``radius_components_edges`` builds radius-graph components per block.
+``WindowGroupLimit`` before the shuffle.
+
+Inside a block a matrix product ranks approximately. Its rounding error is
+bounded, every row that the bound can't exclude is scored exactly in float64
+(difference form, summed left to right, as a SQL engine would), and ties go to
+the smaller id. Equal vectors are one vector with its smallest ids, so copies
+cost nothing. L2 blocks are centred first, so a common offset doesn't cancel.
+
+Rows with a null vector take no part. A vector of another size than the first
+query's (or ``dim``), or with a value that isn't finite, is an error;
+``vector_status`` finds such rows beforehand.
 """
 
 from __future__ import annotations
@@ -40,14 +46,46 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # (Q_BLOCK + B_BLOCK) vectors in memory (scored 1024 queries at a time).
 Q_BLOCK = 16384
 B_BLOCK = 32768
-_MARGIN = 8
+_EPS = float(np.finfo(np.float64).eps)
+_PAIR_CHUNK = 1 << 18  # candidate pairs scored at a time
+
+
+def vector_status(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
+    """``(id_col, status)`` of the rows that can't take part: ``null``,
+    ``size`` (not ``dim`` values) or ``not_finite``."""
+    v = F.col(vec_col)
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    status = F.when(v.isNull(), "null").when(F.size(v) != dim, "size").when(odd, "not_finite")
+    return df.select(id_col, status.alias("status")).filter("status is not null")
+
+
+def _checked(m: np.ndarray, dim: int) -> np.ndarray:
+    if m.shape[1:] != (dim,):
+        raise ValueError(f"a vector has {m.shape[1:]} values, expected {dim}")
+    if not np.isfinite(m).all():
+        raise ValueError("a vector holds a value that is not finite")
+    return m
 
 
 def _to_matrix(col: pa.Array, dim: int) -> np.ndarray:
-    if len(col) == 0:
+    """Rows of a list array as a float64 matrix; every list must have ``dim``
+    finite values."""
+    arr = pa.array(col) if not isinstance(col, pa.Array) else col
+    if len(arr) == 0:
         return np.zeros((0, dim), dtype=np.float64)
-    flat = pa.array(col).flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(-1, dim)
+    sizes = np.diff(arr.offsets.to_numpy())
+    if (sizes != dim).any():
+        raise ValueError(f"a vector has {int(sizes[sizes != dim][0])} values, expected {dim}")
+    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _checked(flat.reshape(-1, dim), dim)
+
+
+def _stack(vectors, dim: int) -> np.ndarray:
+    if len(vectors) == 0:
+        return np.zeros((0, dim), dtype=np.float64)
+    if any(len(v) != dim for v in vectors):
+        raise ValueError(f"a vector doesn't have {dim} values")
+    return _checked(np.stack(list(vectors)).astype(np.float64), dim)
 
 
 def _wire(df: DataFrame, col: str):
@@ -68,74 +106,84 @@ def _seq_sum(m: np.ndarray) -> np.ndarray:
     return acc
 
 
-def _exact(q: np.ndarray, vecs: np.ndarray, metric: str) -> np.ndarray:
+def _exact_pairs(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Exact scores of vector pairs (rows of ``q`` and ``v``), summed left to
+    right over dimensions; smaller is better."""
     if metric == "l2":
-        return _seq_sum((vecs - q) ** 2)
-    dotp = _seq_sum(vecs * q)
-    den = np.sqrt(_seq_sum(q[None, :] * q[None, :]))[0] * np.sqrt(_seq_sum(vecs * vecs))
-    return -np.where(den == 0, 0.0, dotp / np.where(den == 0, 1.0, den))
-
-
-def _exact_rows(q: np.ndarray, vecs: np.ndarray, metric: str) -> np.ndarray:
-    """Exact scores of candidate vectors ``vecs`` (Q x K x D) for queries
-    ``q`` (Q x D), summed left to right over dimensions."""
+        return _seq_sum((v - q) ** 2)
+    den = np.sqrt(_seq_sum(q * q)) * np.sqrt(_seq_sum(v * v))
+    return -np.where(den == 0, 0.0, _seq_sum(v * q) / np.where(den == 0, 1.0, den))
+
+
+def _distinct(bm: np.ndarray, bids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a block without copies that can't be among the best: of
+    equal vectors the ``keep`` smallest ids."""
+    order = np.argsort(bids, kind="stable")
+    bm, bids = bm[order] + 0.0, bids[order]  # -0.0 equals 0.0
+    key = np.ascontiguousarray(bm).view(np.dtype((np.void, bm.shape[1] * bm.itemsize))).ravel()
+    _, group, counts = np.unique(key, return_inverse=True, return_counts=True)
+    if counts.max() <= keep:
+        return bm, bids
+    by = np.argsort(group, kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by)) - np.repeat(np.cumsum(counts) - counts, counts)
+    stay = rank < keep
+    return bm[stay], bids[stay]
+
+
+def _approximate(q: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Scores by a matrix product and, per query, a bound of their error."""
+    d = q.shape[1]
     if metric == "l2":
-        acc = np.zeros(vecs.shape[:2])
-        for j in range(vecs.shape[2]):
-            d = vecs[:, :, j] - q[:, j][:, None]
-            acc += d * d
-        return acc
-    dotp = np.zeros(vecs.shape[:2])
-    vn = np.zeros(vecs.shape[:2])
-    qn = np.zeros(q.shape[0])
-    for j in range(vecs.shape[2]):
-        dotp += vecs[:, :, j] * q[:, j][:, None]
-        vn += vecs[:, :, j] * vecs[:, :, j]
-        qn += q[:, j] * q[:, j]
-    den = np.sqrt(qn)[:, None] * np.sqrt(vn)
-    return -np.where(den == 0, 0.0, dotp / np.where(den == 0, 1.0, den))
+        centre = b.mean(0)
+        top = max(float(np.abs(b).max(initial=0.0)), float(np.abs(q).max(initial=0.0)))
+        q, b = q - centre, b - centre
+        qq, bb = (q * q).sum(1), (b * b).sum(1)
+        size = qq + bb.max(initial=0.0)
+        moved = 4.0 * _EPS * top * np.sqrt(d)  # what centring may move a vector by
+        error = 8.0 * (d + 4) * _EPS * size + 4.0 * moved * np.sqrt(2.0 * size) + 4.0 * moved * moved
+        return qq[:, None] + bb[None, :] - 2.0 * (q @ b.T), error
+    den = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+    return -(q @ b.T) / np.where(den == 0, 1.0, den), np.full(len(q), 16.0 * (d + 4) * _EPS)
 
 
 def _partial_topk(qm, qids, bm, bids, k, metric, exclude_self):
     """Candidate (q_id, b_id, score) rows: per query the best ``k`` of this
-    block. A matrix product ranks approximately; the best ``k + margin`` are
-    re-scored exactly and ordered by (score, id), all vectorised."""
+    block, exactly, by (score, id)."""
     out_q, out_b, out_s = [], [], []
     if len(qm) == 0 or len(bm) == 0:
         return out_q, out_b, out_s
-    kk = min(bm.shape[0], k + _MARGIN)
-    bsq = (bm * bm).sum(1)
-    bnorm = np.sqrt(bsq)
+    bm, bids = _distinct(bm, bids, k + bool(exclude_self))
+    kk = min(len(bids), k)
     step = max(1, min(1024, (1 << 23) // max(1, bm.shape[0])))  # <= 64 MiB per score block
     for start in range(0, len(qm), step):
-        q = qm[start:start + step]
-        qi = qids[start:start + step]
-        if metric == "l2":
-            approx = (q * q).sum(1)[:, None] + bsq[None, :] - 2.0 * (q @ bm.T)
-        else:  # cosine: smaller is better on the negated similarity
-            den = np.linalg.norm(q, axis=1)[:, None] * bnorm[None, :]
-            approx = -(q @ bm.T) / np.where(den == 0, 1.0, den)
+        q, qi = qm[start:start + step], qids[start:start + step]
+        approx, error = _approximate(q, bm, metric)
         if exclude_self:
             approx = np.where(qi[:, None] == bids[None, :], np.inf, approx)
-        cand = np.argpartition(approx, kk - 1, axis=1)[:, :kk]          # Q x kk
-        finite = np.isfinite(np.take_along_axis(approx, cand, axis=1))
-        exact = _exact_rows(q, bm[cand], metric)                        # Q x kk
-        exact = np.where(finite, exact, np.inf)
-        ids = bids[cand]
-        order = np.lexsort((ids, exact), axis=1)[:, :k]
-        top_s = np.take_along_axis(exact, order, axis=1)
-        top_b = np.take_along_axis(ids, order, axis=1)
-        keep = np.isfinite(top_s)
-        out_q.extend(np.broadcast_to(qi[:, None], top_s.shape)[keep].tolist())
-        out_b.extend(top_b[keep].tolist())
-        out_s.extend(top_s[keep].tolist())
+        kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+        near = approx <= (kth + 2.0 * error)[:, None]
+        if exclude_self:
+            near &= qi[:, None] != bids[None, :]
+        row, base = np.nonzero(near)
+        exact = np.empty(len(row))
+        for a in range(0, len(row), _PAIR_CHUNK):
+            part = slice(a, a + _PAIR_CHUNK)
+            exact[part] = _exact_pairs(q[row[part]], bm[base[part]], metric)
+        order = np.lexsort((bids[base], exact, row))
+        row, base, exact = row[order], base[order], exact[order]
+        first = np.searchsorted(row, row)
+        best = np.arange(len(row)) - first < k
+        out_q.extend(qi[row[best]].tolist())
+        out_b.extend(bids[base[best]].tolist())
+        out_s.extend(exact[best].tolist())
     return out_q, out_b, out_s
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "q_id",
         q_vec: str = "q_vec", b_id: str = "b_id", b_vec: str = "b_vec",
         group: str | None = None, metric: str = "l2", exclude_self: bool = False,
-        max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+        max_broadcast_bytes: int = MAX_BROADCAST_BYTES, dim: int | None = None) -> DataFrame:
     """Exact top-``k`` of ``base`` for every query.
 
     Returns ``(q_id, b_id[, group], score, rank)``: ``score`` is the squared
@@ -152,13 +200,15 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "q_id",
     if group:
         bcols.append(F.col(group).alias("grp"))
     bs = base.select(*bcols).filter(F.col("b_vec").isNotNull())
-    # dimension from one row; then at most cap+1 query rows are collected:
-    # a bounded set is broadcast from that same collect, a larger one (which
-    # only shows that the bound is exceeded) goes to the block cogroup
-    first = qs.select(F.size("q_vec").alias("d")).limit(1).collect()
-    dim = int(first[0]["d"]) if first else 0
+    # at most cap + 1 query rows are collected: a bounded set is broadcast from
+    # that same collect, a larger one goes to the block cogroup
+    if dim is None:
+        first = qs.select(F.size("q_vec").alias("d")).limit(1).collect()
+        dim = int(first[0]["d"]) if first else 0
+        if first and dim == 0:
+            raise ValueError("the first query has a vector without values")
     cap = max_broadcast_bytes // (8 * max(dim, 1))
-    qpdf = qs.filter(F.size("q_vec") == dim).limit(cap + 1).toPandas() if dim else None
+    qpdf = qs.limit(cap + 1).toPandas() if dim else None
     n_q = 0 if qpdf is None else len(qpdf)
     grp_type = base.schema[group].dataType if group else None
     grp_arrow = to_arrow_type(grp_type) if group else None
@@ -171,13 +221,9 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "q_id",
     if n_q == 0 or dim == 0:
         return spark.createDataFrame([], cand_schema).withColumn("rank", F.lit(1))
 
-    bs = bs.filter(F.size("b_vec") == dim)
-    qs = qs.filter(F.size("q_vec") == dim)
-
     if n_q <= cap:
         qm_b = spark.sparkContext.broadcast(
-            (np.stack(qpdf["q_vec"].to_numpy()).astype(np.float64) if n_q else None,
-             qpdf["q_id"].to_numpy(dtype=np.int64)))
+            (_stack(qpdf["q_vec"].to_numpy(), dim), qpdf["q_id"].to_numpy(dtype=np.int64)))
 
         def run(batches):
             qm, qids = qm_b.value
@@ -217,9 +263,9 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "q_id",
         def cell(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
             if len(qpdf) == 0 or len(bpdf) == 0:
                 return pd.DataFrame({f.name: [] for f in cand_schema.fields})
-            qm = np.stack(qpdf["q_vec"].to_numpy()).astype(np.float64)
+            qm = _stack(qpdf["q_vec"].to_numpy(), dim)
             qids = qpdf["q_id"].to_numpy(dtype=np.int64)
-            bm = np.stack(bpdf["b_vec"].to_numpy()).astype(np.float64)
+            bm = _stack(bpdf["b_vec"].to_numpy(), dim)
             bids = bpdf["b_id"].to_numpy(dtype=np.int64)
             frames = []
             groups = bpdf["grp"].to_numpy() if group else None
@@ -254,13 +300,13 @@ def _cell_stars(ids_a, ma, ids_b, mb, radius):
     pairs themselves."""
     if len(ids_a) == 0 or len(ids_b) == 0:
         return [], []
-    d = (ma * ma).sum(1)[:, None] + (mb * mb).sum(1)[None, :] - 2.0 * ma @ mb.T
-    adj = d <= radius + 1e-9
-    # exact re-check of the borderline entries
-    border = np.abs(d - radius) <= 1e-6
-    if border.any():
-        for i, j in zip(*np.nonzero(border)):
-            adj[i, j] = _seq_sum(((ma[i] - mb[j]) ** 2)[None, :])[0] <= radius
+    d, error = _approximate(ma, mb, "l2")
+    adj = d <= radius
+    # exact check of the entries that rounding may have put on either side
+    i, j = np.nonzero(np.abs(d - radius) <= error[:, None])
+    for a in range(0, len(i), _PAIR_CHUNK):
+        x, y = i[a:a + _PAIR_CHUNK], j[a:a + _PAIR_CHUNK]
+        adj[x, y] = _exact_pairs(ma[x], mb[y], "l2") <= radius
     la = ids_a.astype(np.int64).copy()
     lb = ids_b.astype(np.int64).copy()
     big = np.iinfo(np.int64).max
@@ -342,8 +388,8 @@ def knn_routed(queries: DataFrame, base: DataFrame, routes: DataFrame, k: int, *
     def cell(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(bpdf) == 0:
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        qm = np.stack(qpdf["q_vec"].to_numpy()).astype(np.float64)
-        bm = np.stack(bpdf["b_vec"].to_numpy()).astype(np.float64)
+        dim = len(qpdf["q_vec"].iloc[0])
+        qm, bm = _stack(qpdf["q_vec"].to_numpy(), dim), _stack(bpdf["b_vec"].to_numpy(), dim)
         a, b, s = _partial_topk(qm, qpdf["q_id"].to_numpy(dtype=np.int64), bm,
                                 bpdf["b_id"].to_numpy(dtype=np.int64), k, metric, False)
         out = pd.DataFrame({"q_id": a, "b_id": b, "score": s})

@@ -113,3 +113,36 @@ def test_routed_knn_with_split_hot_group(spark, data):
             else:
                 sub = {i: v.astype(np.float64) for i, v in enumerate(base) if groups[i] in gs}
                 assert res[q] == _brute({q: qs[q].astype(np.float64)}, sub, 3)[q]
+
+
+@pytest.mark.parametrize("bcast", [64 << 20, 0])
+def test_copies_offset_and_error_bound(spark, bcast):
+    """More copies than any fixed margin, and a large common offset."""
+    rng = np.random.default_rng(11)
+    copies = [(i, [1.0, 2.0]) for i in range(50)] + [(60 + i, [5.0, float(i)]) for i in range(10)]
+    df = spark.createDataFrame(copies, "id long, v array<double>").repartition(4)
+    one = spark.createDataFrame([(-1, [1.0, 2.0])], "id long, v array<double>")
+    got = knn(one, df, 3, q_id="id", q_vec="v", b_id="id", b_vec="v", max_broadcast_bytes=bcast).orderBy("rank").collect()
+    assert [r.b_id for r in got] == [0, 1, 2]
+    far = 1e6 + 0.01 * rng.normal(size=(500, 8))
+    fdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(far)], "id long, v array<double>")
+    hits = knn(fdf, fdf, 5, q_id="id", q_vec="v", b_id="id", b_vec="v", exclude_self=True, max_broadcast_bytes=bcast).collect()
+    res = {}
+    for r in sorted(hits, key=lambda r: (r.q_id, r["rank"])):
+        res.setdefault(r.q_id, []).append(r.b_id)
+    vecs = dict(enumerate(far))
+    assert res == _brute(vecs, vecs, 5, exclude_self=True)
+
+
+def test_odd_vectors_are_never_dropped_silently(spark):
+    from docweave.plans.topk import vector_status
+    ok = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "id long, v array<double>")
+    for bad in ([1.0], [1.0, 2.0, 3.0], [1.0, float("nan")], [1.0, float("inf")]):
+        odd = spark.createDataFrame([(1, [1.0, 2.0]), (3, bad)], "id long, v array<double>")
+        for q, b in ((ok, odd), (odd, ok)):
+            with pytest.raises(Exception, match="values|finite"):
+                knn(q, b, 1, q_id="id", q_vec="v", b_id="id", b_vec="v", dim=2).collect()
+    rows = [(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [float("nan"), 0.0])]
+    status = vector_status(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 2).collect()
+    assert {(r.id, r.status) for r in status} == {(2, "null"), (3, "size"), (4, "not_finite")}
+
