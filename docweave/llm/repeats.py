@@ -29,7 +29,7 @@ id).
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -317,9 +317,11 @@ _MESSAGE = "bucket int, block long, step int, keys binary, hashes binary, vals b
 _ANSWER = "block long, bucket int, step int, flags binary"
 
 
-def _send(block: int, step: int, buckets: int, keys: np.ndarray, cols: dict) -> pa.Table:
+def _send(block: int, step: int, buckets: int, keys: np.ndarray, cols: dict, known: dict[int, np.ndarray]) -> pa.Table:
+    """Messages of a block. Earlier answers go along to one bucket, which sends
+    them back (step below 0), so that each answer is worked out once."""
     cuts = _cuts(keys, buckets)
-    rows = []
+    rows = [(block % buckets, block, -s, flags.tobytes(), b"", b"") for s, flags in known.items() if len(flags)]
     for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
         part = slice(cuts[b], cuts[b + 1])
         packed = keys[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -334,6 +336,13 @@ def _send(block: int, step: int, buckets: int, keys: np.ndarray, cols: dict) ->
 
 def _answer(rule: Rule, step: int):
     def run(table: pa.Table) -> pa.Table:
+        back = table.filter(pc.less(table.column("step"), 0))
+        echo = pa.table([back.column("block"), back.column("bucket"), pc.negate(back.column("step")), back.column("keys")],
+                        names=["block", "bucket", "step", "flags"])
+        table = table.filter(pc.greater(table.column("step"), 0))
+        return pa.concat_tables([echo, settle(table)]) if table.num_rows else echo
+
+    def settle(table: pa.Table) -> pa.Table:
         keys6 = [np.frombuffer(k, np.uint8).reshape(-1, 6) for k in table.column("keys").to_pylist()]
         sizes = np.array([len(k) for k in keys6])
         wide = np.zeros((int(sizes.sum()), 8), np.uint8)
@@ -403,7 +412,7 @@ def mark_repeats(docs: DataFrame, *, id_col: str, text_col: str, unit: str, wind
         _, _, ids, _, found = load(ordered(texts))
         state = Block(found, ids, rule, _complete(answers, step))
         keys, cols = (state.anchors, state.contexts, state.windows)[step - 1]()
-        return _send(texts.column("block")[0].as_py(), step, buckets, keys, cols)
+        return _send(texts.column("block")[0].as_py(), step, buckets, keys, cols, answers)
 
     def first_message(texts: pa.Table) -> pa.Table:
         return message(1, texts, {})
@@ -431,21 +440,14 @@ def mark_repeats(docs: DataFrame, *, id_col: str, text_col: str, unit: str, wind
     out_schema = T.StructType([base.schema["row"], *out_fields])
     schema_table = to_arrow_schema(out_schema).empty_table()
     texts = dealt.select("block", "id", "row", "text")
-    told = []
+    sent = texts.groupBy("block").applyInArrow(first_message, _MESSAGE)
     for step in (1, 2, 3):
-        if step == 1:
-            sent = texts.groupBy("block").applyInArrow(first_message, _MESSAGE)
-        else:
-            sent = texts.groupBy("block").cogroup(_union(told).groupBy("block")).applyInArrow(next_message(step), _MESSAGE)
-        told.append(sent.groupBy("bucket").applyInArrow(_answer(rule, step), _ANSWER))
-    said = _union(told)
+        said = sent.groupBy("bucket").applyInArrow(_answer(rule, step), _ANSWER)
+        if step < 3:
+            sent = texts.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(next_message(step + 1), _MESSAGE)
     return texts.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(finish, out_schema)
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def _complete(answers: dict[int, np.ndarray], step: int) -> dict[int, np.ndarray]:
     """A block without entries in a step gets no answer to it."""
     return {s: answers.get(s, np.zeros(0, np.uint8)) for s in range(1, step)}
