@@ -1,11 +1,11 @@
 """Quality classifier: interpolated modified Kneser-Ney character n-grams.
 
 One model per language is trained on all trusted documents. Each task counts its
-n-grams and sends one row per distinct one; grouped aggregations give the
-counts, continuation counts, discounts and context sums of every order, and the
-probability of each n-gram that any document holds comes from joins of these
-tables, order by order, sharded by n-gram. Scoring then looks n-grams up in
-tables of at most ``SHARD`` entries, one pass over the texts for each shard (the
+n-grams and sends one row per distinct one; a grouped aggregation sums them, and
+shards of the n-gram table join counts, continuation counts, discounts and
+context sums of every order into the probability of each n-gram that any
+document holds. Scoring then looks n-grams up in tables of at most ``SHARD``
+entries, one pass over the texts for each shard (the
 log-probability of a document is a sum, so shards add up). The texts are never
 shuffled. A document's perplexity, shrunk towards the mean of its language by
 ``SHRINK`` characters so that few words don't decide, is compared with a quantile of the perplexity
@@ -121,55 +121,119 @@ def _count(language_of: dict, pooled: bool, order: int):
     return run
 
 
-def _discounts(counts: DataFrame) -> DataFrame:
-    """``lang, d1, d2, d3`` from the numbers of n-grams that occur 1 to 4 times."""
-    of = counts.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == k, 1.0).otherwise(0.0)).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0))
+def _mask(m: int) -> np.uint64:
+    return _U((1 << (BITS * m)) - 1)
 
-    def d(k: int):
-        raw = F.lit(float(k)) - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0))
-        return F.least(F.greatest(F.coalesce(raw, F.lit(0.5 * k)), F.lit(0.05)), F.lit(float(k))).alias(f"d{k}")
 
-    return of.select("lang", d(1), d(2), d(3))
+def _order_counts(grams: np.ndarray, n: np.ndarray, order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sorted n-grams and counts of each order from 2: those of the highest
+    are given, lower ones count the distinct n-grams that end with them."""
+    out = {order: (grams[n > 0], n[n > 0])}
+    for m in range(order - 1, 1, -1):
+        out[m] = np.unique(out[m + 1][0] & _mask(m), return_counts=True)
+    return out
+
+
+def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """``values`` of the sorted ``keys`` at ``wanted``, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[place] == wanted, values[place], 0.0)
+
+
+def _shard(table: pa.Table, order: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, sorted n-grams, uses and trusted counts of a shard."""
+    gram = table.column("gram").to_numpy().view(_U)
+    at = np.argsort(gram)
+    return (int(gram[0] >> _U(BITS * order)), gram[at] & _mask(order), table.column("uses").to_numpy()[at], table.column("n").to_numpy()[at])
+
+
+def _shard_statistics(order: int):
+    def run(table: pa.Table) -> pa.Table:
+        """How many n-grams of each order occur 1 to 4 times (``kind`` is the
+        order, ``item`` the number), and for kind 1 in how many bigrams of the
+        shard each last character stands."""
+        lang, grams, _, n = _shard(table, order)
+        counts = _order_counts(grams, n, order)
+        rows = [(lang, m, k, int((c == k).sum())) for m, (_, c) in counts.items() for k in (1, 2, 3, 4)]
+        last, pairs = np.unique(counts[2][0] & _mask(1), return_counts=True)
+        rows += [(lang, 1, int(x), int(y)) for x, y in zip(last, pairs)]
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], names=["lang", "kind", "item", "value"])
+
+    return run
+
+
+def _discounts(n: dict[int, int]) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts 1, 2 and more."""
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+    raw = [0.5 * k if y is None or not n[k] else k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
+    return np.array([0.0] + [min(max(r, 0.05), float(k)) for k, r in zip((1, 2, 3), raw)])
+
+
+def _level(counts, cut: np.ndarray, wanted: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Interpolated probabilities of ``wanted`` at one order; ``low`` are those
+    of the order below."""
+    keys, c = counts
+    context, where = np.unique(keys >> _U(BITS), return_inverse=True)
+    off = np.minimum(cut[np.minimum(c, 3)], c)
+    total = np.bincount(where, c, len(context))
+    freed = np.bincount(where, off, len(context))
+    here = _at(context, total, wanted >> _U(BITS))
+    own = _at(keys, c - off, wanted) + _at(context, freed, wanted >> _U(BITS)) * low
+    return np.where(here > 0, own / np.where(here > 0, here, 1.0), low)
+
+
+def _shard_probabilities(order: int, cuts: dict, single: dict):
+    def run(table: pa.Table) -> pa.Table:
+        lang, grams, uses, n = _shard(table, order)
+        counts = _order_counts(grams, n, order)
+        keys, p = single.get(lang, (np.zeros(0, _U), np.zeros(0)))
+        floor = single.get((lang, None), 1.0 / (1 << BITS))
+        below, wanted_below = None, None
+        for m in range(2, order + 1):
+            wanted = np.unique(grams & _mask(m)) if m < order else grams
+            if m == 2:
+                known = _at(keys, p, wanted & _mask(1))
+                low = np.where(known > 0, known, floor)
+            else:
+                low = _at(wanted_below, below, wanted & _mask(m - 1))
+            below, wanted_below = _level(counts[m], cuts.get((lang, m), np.zeros(4)), wanted, low), wanted
+        mine = uses > 0
+        gram = grams[mine] | (_U(lang) << _U(BITS * order))
+        return pa.table([pa.array(gram.view(np.int64)), pa.array(uses[mine]), pa.array(np.log(below[mine]).astype(np.float32))],
+                        names=["gram", "uses", "logp"])
+
+    return run
 
 
 def gram_probabilities(grams: DataFrame, order: int) -> DataFrame:
-    """``gram, uses, logp`` of every n-gram of ``grams`` (``gram, uses, n`` with
-    ``n`` its count in trusted text)."""
-    mask = lambda m: (1 << (BITS * m)) - 1
-    top = BITS * order
-
-    def lower(c, m):  # language and the last m characters
-        return F.shiftleft(F.shiftrightunsigned(c, top), top).bitwiseOR(F.col(c).bitwiseAND(F.lit(mask(m))))
-
-    def context(m):  # language and the first m - 1 of the last m characters
-        return lower("gram", m).bitwiseAND(F.lit(~((1 << BITS) - 1)))
-
-    wanted = [None] * (order + 1)
-    counts = [None] * (order + 1)
-    wanted[order] = grams.select("gram")
-    counts[order] = grams.filter("n > 0").select("gram", "n")
-    for m in range(order - 1, 0, -1):
-        wanted[m] = wanted[m + 1].select(lower("gram", m).alias("gram")).distinct()
-        counts[m] = counts[m + 1].groupBy(lower("gram", m).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    below = None
-    for m in range(1, order + 1):
-        seen = counts[m].withColumn("lang", F.shiftrightunsigned("gram", top))
-        level = seen.join(F.broadcast(_discounts(seen)), "lang")  # one row per language, at most MAX_LANGUAGES
-        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        level = level.withColumn("cut", F.least(cut, F.col("n").cast("double"))).withColumn("ctx", context(m))
-        sums = level.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-        p = (wanted[m].withColumn("ctx", context(m)).withColumn("low", lower("gram", m - 1) if m > 1 else F.lit(0))
-             .join(level.select("gram", (F.col("n") - F.col("cut")).alias("kept")), "gram", "left").join(sums, "ctx", "left"))
-        if m == 1:
-            p = p.withColumn("p_low", F.lit(1.0 / (1 << BITS)))
-        else:
-            p = p.join(below.select(F.col("gram").alias("low"), F.col("p").alias("p_low")), "low")
-        own = (F.coalesce("kept", F.lit(0.0)) + F.col("freed") * F.col("p_low")) / F.col("total")
-        below = p.select("gram", F.coalesce(own, F.col("p_low")).alias("p"))
-        if m < order:
-            below = reliable_checkpoint(below)
-    return below.join(grams.select("gram", "uses"), "gram").select("gram", "uses", F.log("p").cast("float").alias("logp"))
+    """``gram, uses, logp`` of the n-grams that any document holds (``gram,
+    uses, n`` with ``n`` the count in trusted text).
+
+    A shard holds the n-grams of a language with the same last character but
+    one: every count, continuation count and context sum that its
+    probabilities need from order 2 up lies in it. Only the discounts and the
+    distribution of single characters are summed over shards."""
+    sharded = grams.groupBy(F.shiftrightunsigned("gram", BITS * order).alias("l"),
+                            F.shiftrightunsigned("gram", BITS).bitwiseAND(F.lit((1 << BITS) - 1)).alias("c"))
+    stats = (sharded.applyInArrow(_shard_statistics(order), "lang long, kind long, item long, value long")
+             .groupBy("lang", "kind", "item").agg(F.sum("value").alias("value")).collect())
+    by: dict = {}
+    for r in stats:
+        by.setdefault((r["lang"], r["kind"]), {})[r["item"]] = r["value"]
+    cuts = {k: _discounts(v) for k, v in by.items() if k[1] > 1}
+    single: dict = {}
+    for (lang, kind), v in by.items():
+        if kind == 1 and sum(v.values()):
+            keys = np.array(sorted(v), _U)
+            c = np.array([v[int(k)] for k in keys])
+            cut = _discounts({k: int((c == k).sum()) for k in (1, 2, 3, 4)})
+            off = np.minimum(cut[np.minimum(c, 3)], c)
+            floor = off.sum() / c.sum() / (1 << BITS)
+            single[lang] = (keys, (c - off) / c.sum() + floor)
+            single[lang, None] = floor
+    return sharded.applyInArrow(_shard_probabilities(order, cuts, single), "gram long, uses long, logp float")
 
 
 class Lookup:
@@ -254,14 +318,14 @@ class QualityModel:
         counted = joined.select("text", "lang", "trusted").mapInArrow(
             _count(self.languages, pooled, order), "gram long, uses long, n long")
         grams = reliable_checkpoint(counted.groupBy("gram").agg(F.sum("uses").alias("uses"), F.sum("n").alias("n")))
-        table = reliable_checkpoint(gram_probabilities(grams, order).filter("uses > 0"))
+        table = reliable_checkpoint(gram_probabilities(grams, order))
         self.shards = max(1, math.ceil(table.count() / SHARD))
         self.sent = []
         for s in range(self.shards):
-            part = table.filter(F.pmod(F.xxhash64("gram"), F.lit(self.shards)) == s).toPandas()
-            part = part.sort_values(["uses", "gram"], ascending=[False, True])
-            self.sent.append(spark.sparkContext.broadcast(
-                (part["gram"].to_numpy(np.int64).view(_U), part["logp"].to_numpy(np.float32))))
+            part = table.filter(F.pmod(F.xxhash64("gram"), F.lit(self.shards)) == s).toArrow()
+            gram, uses, logp = (part.column(c).to_numpy() for c in ("gram", "uses", "logp"))
+            at = np.lexsort((gram, -uses))
+            self.sent.append(spark.sparkContext.broadcast((gram[at].view(_U), logp[at])))
         only = docs.withColumn("_id", col(id_col).cast("long")).join(ids, "_id", "left_semi").select(*[col(c) for c in {text_col, lang_col}])
         self._fit_thresholds(self.scored(only), quantile, margin)
 
