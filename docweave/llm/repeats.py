@@ -184,7 +184,8 @@ def find_anchors(tokens: np.ndarray, ends: np.ndarray, window: int, seed: int) -
             first, last, anchor = starts[turn], starts[np.concatenate((turn[1:], [len(starts)])) - 1], place[turn]
             whole = run_hashes(prefix, first, last + window)
             whole += (anchor - first).astype(_U) * _U(0x8CB92BA72F3D8DD7) + (last - first).astype(_U) * _U(0xC2B2AE3D27D4EB4F)
-            parts.append((seeds[anchor] >> _U(16), mix(whole), first + at, last + at, np.full(len(turn), len(pieces))))
+            # anchors are small hashes; mixed again, they fill the buckets evenly
+            parts.append((mix(seeds[anchor]) >> _U(16), mix(whole), first + at, last + at, np.full(len(turn), len(pieces))))
         pieces.append((at, prefix))
         if to == len(tokens):
             break
@@ -275,6 +276,8 @@ class Block:
         owner, start, h = self.found.window_hashes(self.ctx_one[self.ask])
         key = self.ctx_key[self.ask][owner]
         weight = self.ctx_value if self.rule.earlier else np.where(self.settled, 2, self.ctx_value)
+        # dealt by the window's own hash: an anchor may have many windows
+        key, h = h >> _U(16), (key << _U(16)) | (h & _U(0xFFFF))
         order, begin, self.win = _groups(key, h)
         self.win_owner = owner
         self.win_offset = start - self.found.first[self.ctx_one[self.ask]][owner]
