@@ -22,6 +22,8 @@ null languages; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -75,9 +77,15 @@ def fit_text_model(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str
     """Languages and their log-probabilities of the trigram bins."""
     texts = labelled.select(F.xxhash64(col(id_col)).alias("h"), col(lang_col).cast("string").alias("lang"),
                             col(text_col).cast("string").alias("text")).filter("lang is not null and length(text) > 2")
-    ranked = texts.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    last = {r["lang"]: r["h"] for r in ranked.filter(F.col("r") <= sample).groupBy("lang").agg(F.max("h").alias("h"))
-            .limit(MAX_LANGUAGES + 1).collect()}
+    sizes = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    # about four times the sample by a bound on the hash, then its smallest:
+    # no task ranks more than that
+    low = -(1 << 63)
+    bound = {x: low + min((1 << 64) - 1, ((4 * sample) << 64) // n) for x, n in sizes.items()}
+    near = texts.filter(_hash_bounds(bound)).select("lang", "h") if bound else texts.select("lang", "h")
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    last = {r["lang"]: r["h"] for r in ranked.filter(F.col("r") <= sample).groupBy("lang").agg(F.max("h").alias("h")).collect()} \
+        if len(sizes) <= MAX_LANGUAGES else sizes
     if len(last) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(last)
@@ -96,16 +104,16 @@ def fit_text_model(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str
         which = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(total.ravel()[which])], names=["k", "n"])
 
-    chosen = " or ".join(f"(lang = {_quoted(x)} and h <= {h})" for x, h in last.items())
-    found = texts.filter(chosen).select("lang", "text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.filter(_hash_bounds(last)).select("lang", "text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full(len(languages) * FEATURES, 0.5)
     counts[found["k"].to_numpy(np.int64)] += found["n"].to_numpy(float)
     counts = counts.reshape(len(languages), FEATURES)
     return languages, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
-def _quoted(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _hash_bounds(bound: dict[str, int]) -> Column:
+    """Rows whose hash is at most the bound of their language."""
+    return reduce(lambda a, b: a | b, ((F.col("lang") == F.lit(x)) & (F.col("h") <= F.lit(h)) for x, h in bound.items()))
 
 
 def _likelihoods(sent):
