@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode White_Space, spelled out (Python's str \s; Java needs it explicit).
-WS = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 WORD = r"[\p{L}\p{N}_]"
 
 # ---------------------------------------------------------------------------
@@ -74,7 +74,7 @@ def _alt(patterns: list[str]) -> str:
 
 
 # The same White_Space set as characters, for plain (non-regex) trimming.
-WS_CHARS = ("\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
             + "\u2028\u2029\u202f\u205f\u3000")
 
 
@@ -161,12 +161,6 @@ def has_min_words(c: Column, n: int) -> Column:
     return F.coalesce(c.rlike(rf"^{WS}*(?:{nonws}+{WS}+){{{n - 1}}}{nonws}"), F.lit(False))
 
 
-def word_count(c: Column) -> Column:
-    """``len(s.split())``: number of whitespace-separated words."""
-    s = ustrip(c)
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, rf"{WS}+")))
-
-
 def drop_filler_sentences(c: Column, min_words: int = 5) -> Column:
     """Keep sentences with at least ``min_words`` words that do not start with
     "did you know"; newline-joined. (Sentence model re-aimed to the regex
@@ -202,7 +196,7 @@ def clean_bullets(c: Column) -> Column:
 def render_answer(c: Column) -> Column:
     """``**x**`` -> ``<b>x</b>``; newline -> ``<br>``."""
     return F.replace(
-        F.regexp_replace(c, r"\*\*(.*?)\*\*", "<b>$1</b>"), F.lit("\n"), F.lit("<br>")
+        F.regexp_replace(c, r"\*\*([^\n]*?)\*\*", "<b>$1</b>"), F.lit("\n"), F.lit("<br>")
     )
 
 
@@ -217,7 +211,9 @@ def truncate_title(c: Column, max_words: int = 8) -> Column:
 
 def null_to_empty(c: Column) -> Column:
     """null / NaN -> ''; everything else as its string form."""
-    return F.coalesce(c.cast("string"), F.lit("")).alias(c._jc.toString())
+    text = c.cast("string")
+    missing = c.isNull() | (F.typeof(c).isin("float", "double") & (text == "NaN"))
+    return F.when(missing, F.lit("")).otherwise(text)
 
 
 def tokens(c: Column) -> Column:
@@ -266,9 +262,18 @@ def topic_tokens(c: Column, min_len: int = 2, max_len: int = 15) -> Column:
                     & ~t.isin(*STOP_WORDS))
 
 
+# A written token: a number with its inner marks, or word characters held
+# together by hyphens, dots and slashes. Such a compound is one token.
+WRITTEN_TOKEN = rf"\p{{N}}+(?:[,:.]\p{{N}}+)+|{WORD}+(?:[-./]{WORD}+)*"
+
+
 def keyword_head(c: Column, top_n: int = 3) -> Column:
-    """First ``top_n`` content tokens joined by a space."""
-    return F.array_join(F.slice(content_tokens(c), 1, top_n), " ")
+    """First ``top_n`` keywords joined by a space: tokens are cut first, and
+    those that are not purely letters and digits (``e-mail``, ``3.14``) or are
+    stop words are dropped whole."""
+    toks = F.regexp_extract_all(F.lower(c), F.lit(WRITTEN_TOKEN), 0)
+    kept = F.filter(toks, lambda t: t.rlike(r"^[\p{L}\p{N}]+$") & ~t.isin(*STOP_WORDS))
+    return F.array_join(F.slice(kept, 1, top_n), " ")
 
 
 def nav_match(c: Column, full: bool = False) -> Column:
@@ -278,7 +283,7 @@ def nav_match(c: Column, full: bool = False) -> Column:
     # The lookahead on the possible first letters (folded the same way) lets
     # most positions fail on one class test instead of every alternative.
     first = "".join(sorted({p[0].lower() for p in pats}))
-    regex = f"(?iu)(?=[{first}])(?:" + _alt(pats).replace(r"\s", WS) + ")"
+    regex = f"(?iu)(?=[{first}])(?:" + _alt(pats).replace(r"\s", WS).replace(".*", r"[^\n]*") + ")"
     return F.coalesce(c.rlike(regex), F.lit(False))
 
 

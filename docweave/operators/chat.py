@@ -7,11 +7,12 @@ skew-safe sequence number from ``plans.skew``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.plans.skew import ordered_concat, running_max, seq_number, with_previous
+from docweave.session import reliable_checkpoint
 
 
 def user_questions(messages: DataFrame) -> DataFrame:
@@ -56,13 +57,32 @@ def search_pairs(messages: DataFrame, query: str) -> DataFrame:
                     F.col("content").alias("answer")))
 
 
-def delete_pair(messages: DataFrame, requests: DataFrame) -> DataFrame:
+def delete_pair(messages: DataFrame, requests: DataFrame, seq_col: str | None = None) -> DataFrame:
     """For each (session_id, question) request remove every user message equal
     to the question together with the message right after it. In a run of
     consecutive matches the 1st, 3rd, ... are deletions that also take the
-    next message; the 2nd, 4th, ... are taken as "next" ones."""
-    m = (messages.join(requests.select("session_id", F.col("question").alias("__q")),
-                       "session_id", "left")
+    next message; the 2nd, 4th, ... are taken as "next" ones.
+
+    Requests of one session apply one after the other, by ``seq_col`` if given
+    and then by question; a repeated request counts once, at its first place.
+    There is one pass for each request that a session has at most."""
+    seq = F.col(seq_col) if seq_col else F.lit(0)
+    distinct = requests.groupBy("session_id", "question").agg(F.min(seq).alias("__s"))
+    ranked = distinct.withColumn("__r", F.row_number().over(Window.partitionBy("session_id").orderBy("__s", "question")))
+    passes = ranked.agg(F.max("__r")).first()[0] or 0
+    if passes > 1:
+        ranked = reliable_checkpoint(ranked)
+    out = messages
+    for r in range(1, passes + 1):
+        out = _delete_one(out, ranked.filter(F.col("__r") == r).select("session_id", F.col("question").alias("__q")))
+        if r < passes:
+            out = reliable_checkpoint(out)
+    return out
+
+
+def _delete_one(messages: DataFrame, requests: DataFrame) -> DataFrame:
+    """``delete_pair`` for at most one request per session (column ``__q``)."""
+    m = (messages.join(requests, "session_id", "left")
          .withColumn("__hit", F.coalesce((F.col("role") == "user") & (F.col("content") == F.col("__q")),
                                          F.lit(False))))
     m = seq_number(m, ["session_id"], "turn")
@@ -98,20 +118,22 @@ def delete_sessions(messages: DataFrame, names: DataFrame, ids: DataFrame):
             names.join(ids, "session_id", "left_anti"))
 
 
-def new_session_id(ts: Column) -> Column:
-    return F.date_format(ts, "'chat_session_'yyyyMMdd_HHmmss")
+def new_session_id(ts: Column, seq: Column) -> Column:
+    """Named from the request's time; its number tells requests of the same
+    second apart."""
+    return F.concat_ws("_", F.date_format(ts, "'chat_session_'yyyyMMdd_HHmmss"), seq.cast("string"))
 
 
 def append_messages(messages: DataFrame, requests: DataFrame) -> DataFrame:
     """Each request (session_id or null, question, answer, ts, seq) appends a
-    user then an assistant message to its session; a missing or unknown
-    session opens a new one named from the request time. Returns the whole
-    message table with the new rows."""
+    user then an assistant message to its session; each request with a missing
+    or unknown session opens a new one named from its time and number (after
+    the last message, should that name exist). Returns the whole message table
+    with the new rows."""
     last = messages.groupBy("session_id").agg(F.max("turn").alias("__last"))
-    r = (requests.join(last, "session_id", "left")
-         .withColumn("session_id", F.when(F.col("__last").isNotNull(), F.col("session_id"))
-                     .otherwise(new_session_id(F.col("ts"))))
-         )
+    known = requests.join(last.select("session_id", F.lit(True).alias("__known")), "session_id", "left")
+    r = known.withColumn("session_id", F.when(F.col("__known"), F.col("session_id"))
+                         .otherwise(new_session_id(F.col("ts"), F.col("seq")))).join(last, "session_id", "left")
     r = (seq_number(r, ["session_id"], "seq", out="__n")
          .withColumn("__base", F.coalesce(F.col("__last") + 1, F.lit(0)) + (F.col("__n") - 1) * 2))
     rows = r.select("session_id", F.explode(F.array(

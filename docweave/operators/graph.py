@@ -35,8 +35,8 @@ def entity_tokens(c: Column) -> Column:
 
 
 def entity_chain_graph(docs: DataFrame, text_col: str):
-    """Consecutive entities of each text linked (re-aimed extraction: no NER
-    model offline). Node label: ACRONYM (all capitals) or NAME; texts with
+    """Consecutive entities of each text linked, an entity followed by itself
+    to itself (re-aimed extraction: no NER model offline). Node label: ACRONYM (all capitals) or NAME; texts with
     fewer than two entities add nothing. Built inside each row, then
     de-duplicated."""
     ents = entity_tokens(F.col(text_col))
@@ -44,7 +44,7 @@ def entity_chain_graph(docs: DataFrame, text_col: str):
     pairs = d.select(F.explode(F.when(F.size("e") >= 2, F.arrays_zip(
         F.slice("e", 1, F.size("e") - 1).alias("a"), F.slice("e", 2, F.size("e")).alias("b")))
         .otherwise(F.array().cast("array<struct<a:string,b:string>>"))).alias("p"))
-    edges = (pairs.select(F.col("p.a").alias("a"), F.col("p.b").alias("b")).filter(F.col("a") != F.col("b"))
+    edges = (pairs.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
              .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
     nodes = (d.filter(F.size("e") >= 2).select(F.explode("e").alias("id")).distinct()
              .withColumn("label", entity_label(F.col("id"))))

@@ -67,8 +67,8 @@ def tfidf_weights(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame)
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, term, count)`` of content tokens (partial aggregation)."""
-    return (docs.select(id_col, F.explode(tx.content_tokens(F.col(text_col))).alias("term"))
+    """``(id, term, count)`` of topic tokens (partial aggregation)."""
+    return (docs.select(id_col, F.explode(tx.topic_tokens(F.col(text_col))).alias("term"))
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -79,8 +79,9 @@ def dictionary_of(terms: DataFrame) -> DataFrame:
 
 
 def term_dictionary(docs: DataFrame, text_col: str) -> DataFrame:
-    """Distinct content tokens -> dense ids in term order."""
-    return dictionary_of(docs.select(F.explode(tx.content_tokens(F.col(text_col))).alias("term")))
+    """Distinct topic tokens (de-accented, 2 to 15 letters, no stop words) ->
+    dense ids in term order."""
+    return dictionary_of(docs.select(F.explode(tx.topic_tokens(F.col(text_col))).alias("term")))
 
 
 def bag_of_words(counts: DataFrame, id_col: str, dictionary: DataFrame) -> DataFrame:

@@ -84,21 +84,23 @@ def topic_tree(items: DataFrame, topic_col: str = "topic", sub_col: str = "sub")
 
 
 def lda_topics(docs: DataFrame, text_col: str, k: int = 5, max_iter: int = 10, seed: int = 42,
-               top_words: int = 10, vocab_size: int = 1 << 18) -> DataFrame:
+               top_words: int = 10) -> DataFrame:
     """LDA over topic-token counts (de-accented alphabetic tokens, stop words
     out; one document per row, not one joined string); top words per topic:
     ``(topic, rank, term, weight)``."""
     toks = docs.select(tx.topic_tokens(F.col(text_col)).alias("tokens"))
-    # the vocabulary (model state, at most vocab_size terms) is what gets
-    # broadcast to label the topic words
+    # every distinct term is a feature; of the vocabulary only the described
+    # terms (k * top_words) leave the driver
+    terms = toks.select(F.explode("tokens").alias("t")).agg(F.countDistinct("t")).first()[0]
     cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0,
-                         vocabSize=vocab_size).fit(toks)
+                         vocabSize=max(1, terms)).fit(toks)
     feats = cv.transform(toks).cache()
     model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features").fit(feats)
     feats.unpersist()  # the fitted model holds what the topics need
     topics = model.describeTopics(top_words)
     spark = docs.sparkSession
-    vocab = spark.createDataFrame(list(enumerate(cv.vocabulary)), "ix int, term string")
+    described = {i for r in topics.select("termIndices").collect() for i in r["termIndices"]}
+    vocab = spark.createDataFrame([(i, cv.vocabulary[i]) for i in sorted(described)], "ix int, term string")
     ex = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("r", "t"))
     return (ex.select("topic", (F.col("r") + 1).alias("rank"), F.col("t.termIndices").alias("ix"),
                       F.col("t.termWeights").alias("weight"))
@@ -115,8 +117,7 @@ def _both_ways(e: DataFrame) -> DataFrame:
         e.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64,
-                         checkpoint_every: int = 1) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
     """``(id, comp)``: each node labelled by the smallest id of its component.
 
     Large-Star / Small-Star rounds (Kiveris et al., "Connected Components in
@@ -124,9 +125,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     ``min`` aggregates, and the number of rounds grows with log^2 of the
     component size, not with its diameter (a long chain converges quickly).
     The edge set is cut with reliable checkpoints in the shared folder; the
-    loop stops when a round leaves it unchanged."""
+    loop ends only when a round leaves it unchanged."""
     e = _canonical(edges.select("src", "dst"), "src", "dst")
-    for r in range(max_rounds):
+    r = 0
+    while True:
         both = _both_ways(e)
         # large star: link every larger neighbour of u to the smallest of u's neighbourhood
         m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -143,7 +145,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         # one job: any edge present on only one side of the round
         changed = (new_e.withColumn("__n", F.lit(1)).join(e.withColumn("__o", F.lit(1)), ["a", "b"], "full_outer")
                    .filter(F.col("__n").isNull() | F.col("__o").isNull()).limit(1).count())
-        e = new_e
+        e, r = new_e, r + 1
         if changed == 0:
             break
     # converged: stars centred on each component's minimum

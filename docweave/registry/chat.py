@@ -185,7 +185,7 @@ WHERE m.session_id NOT IN (SELECT session_id FROM ids)""",
     "append_messages": f"""WITH {_MSG},
   last AS (SELECT session_id, max(turn) AS l FROM messages GROUP BY session_id),
   req AS (SELECT CASE WHEN last.l IS NOT NULL THEN r.session_id
-                      ELSE strftime(r.ts, 'chat_session_%Y%m%d_%H%M%S') END AS session_id,
+                      ELSE strftime(r.ts, 'chat_session_%Y%m%d_%H%M%S') || '_' || CAST(r.seq AS VARCHAR) END AS session_id,
                  last.l, r.question, r.answer, r.seq
           FROM (SELECT CAST(user_id AS VARCHAR) AS session_id,
                        'question ' || CAST(event_id AS VARCHAR) AS question,

@@ -8,7 +8,7 @@ from docweave.functions import text as tx
 from docweave.operators import graph as G
 from docweave.operators import html as H
 from docweave.registry.html import _TP, table_pages
-from docweave.registry.sqlfrag import sql_list
+from docweave.registry.text import keywords_sql
 from docweave.plans.parallel import spread
 from docweave.session import scratch_dir, table
 
@@ -155,13 +155,8 @@ _ENT = (f"list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), "
         f"lambda t: regexp_matches(t, '^\\p{{Lu}}') AND length(t) >= 2)")
 
 
-def _content_tokens(x):
-    return (f"list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), "
-            f"lambda t: NOT list_contains({sql_list(tx.STOP_WORDS)}, t))")
-
-
-_TK = f"""tk AS (SELECT DISTINCT lang AS topic, array_to_string({_content_tokens('text')}[1:1], ' ') AS keyword
-                FROM documents WHERE array_to_string({_content_tokens('text')}[1:1], ' ') <> '')"""
+_TK = f"""tk AS (SELECT DISTINCT lang AS topic, array_to_string({keywords_sql('text')}[1:1], ' ') AS keyword
+                FROM documents WHERE array_to_string({keywords_sql('text')}[1:1], ' ') <> '')"""
 
 ORACLE = {
     "table_to_graph": f"""WITH {_WRITES}
@@ -170,7 +165,7 @@ FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst""",
     "graph_to_text": f"WITH {_WRITES} SELECT src, dst, src || ': ' || dst AS text FROM edges",
     "entity_chain_graph": f"""WITH d AS (SELECT {_ENT} AS e FROM documents),
   p AS (SELECT e[i] AS a, e[i + 1] AS b FROM d, range(1, len(e)) t(i) WHERE len(e) >= 2),
-  edges AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM p WHERE a <> b),
+  edges AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM p),
   nodes AS (SELECT DISTINCT unnest(e) AS id FROM d WHERE len(e) >= 2),
   nl AS (SELECT id, CASE WHEN id = upper(id) THEN 'ACRONYM' ELSE 'NAME' END AS label FROM nodes)
 SELECT e.src, e.dst, a.label AS src_label, b.label AS dst_label

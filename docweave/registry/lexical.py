@@ -106,6 +106,11 @@ def _vocab_tokens(x):
     return f"list_filter({_tokens(x)}, lambda t: length(t) >= 2 AND NOT list_contains({sql_list(tx.STOP_WORDS)}, t))"
 
 
+def _topic_tokens(x):
+    return (f"list_filter(regexp_extract_all(strip_accents(lower({x})), '\\p{{L}}+'), "
+            f"lambda t: length(t) BETWEEN 2 AND 15 AND NOT list_contains({sql_list(tx.STOP_WORDS)}, t))")
+
+
 def _content_tokens(x):
     return (f"list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), "
             f"lambda t: NOT list_contains({sql_list(tx.STOP_WORDS)}, t))")
@@ -115,7 +120,7 @@ _TOP = f"""{_MSG},
   toks AS (SELECT unnest({_vocab_tokens('content')}) AS term FROM messages WHERE role = 'user'),
   top AS (SELECT term, count(*) AS tf FROM toks GROUP BY term ORDER BY tf DESC, term LIMIT 50)"""
 
-_DICT = f"""terms AS (SELECT DISTINCT unnest({_content_tokens('text')}) AS term FROM documents),
+_DICT = f"""terms AS (SELECT DISTINCT unnest({_topic_tokens('text')}) AS term FROM documents),
   dict AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM terms)"""
 
 _WSPLIT = f"list_filter(regexp_split_to_array(X, '{WS}+'), lambda w: w <> '')"
@@ -161,7 +166,7 @@ SELECT term, tf, CAST(row_number() OVER (ORDER BY tf DESC, term) AS INTEGER) AS
 SELECT q_id, term, round(w / nrm, 6) AS weight FROM w JOIN nr USING (q_id)""",
     "term_dictionary": f"WITH {_DICT} SELECT term, term_id FROM dict",
     "bag_of_words": f"""WITH {_DICT},
-  t AS (SELECT doc_id, unnest({_content_tokens('text')}) AS term FROM documents)
+  t AS (SELECT doc_id, unnest({_topic_tokens('text')}) AS term FROM documents)
 SELECT doc_id, term_id, count(*) AS count FROM t JOIN dict USING (term) GROUP BY doc_id, term_id""",
     "fuzzy_best_match": """WITH s AS (
   SELECT a.p_partkey, b.p_partkey AS match_id,

@@ -40,8 +40,9 @@ def q_null_to_empty(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
     lab = table(spark, sf, "labels")
     j = d.join(lab, "doc_id", "left")
-    return j.select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("quality"),
-                    F.coalesce(F.col("toxic").cast("string"), F.lit("")).alias("toxic"))
+    score = F.when(F.col("toxic") == 1, F.lit(float("nan"))).otherwise(F.col("quality").cast("double"))
+    return j.select("doc_id", tx.null_to_empty(F.col("quality")).alias("quality"),
+                    tx.null_to_empty(F.col("toxic")).alias("toxic"), tx.null_to_empty(score).alias("score"))
 
 
 def q_tokenize(spark, sf):
@@ -86,6 +87,11 @@ def _content_tokens_sql(x: str) -> str:
             f"lambda t: NOT list_contains({sql_list(tx.STOP_WORDS)}, t))")
 
 
+def keywords_sql(x: str) -> str:
+    return (f"list_filter(regexp_extract_all(lower({x}), '{tx.WRITTEN_TOKEN}'), lambda t: regexp_full_match(t, '[\\p{{L}}\\p{{N}}]+') "
+            f"AND NOT list_contains({sql_list(tx.STOP_WORDS)}, t))")
+
+
 def _sel(expr: str) -> str:
     return f"SELECT doc_id, {expr} AS out FROM documents"
 
@@ -121,13 +127,14 @@ FROM (SELECT doc_id, {_sentences_sql('text')} AS s FROM documents), range(1, len
     "drop_boilerplate_lines": _sel(
         f"array_to_string(list_filter(list_transform(regexp_split_to_array(text, '{LINE_BREAK}'), "
         f"lambda l: {ustrip('l')}), lambda l: l <> '' AND NOT list_contains({sql_list(tx.BOILERPLATE_LINES)}, l)), chr(10))"),
-    "render_answer": _sel("replace(regexp_replace(text, '\\*\\*(.*?)\\*\\*', '<b>\\1</b>', 'g'), chr(10), '<br>')"),
+    "render_answer": _sel("replace(regexp_replace(text, '\\*\\*([^\n]*?)\\*\\*', '<b>\\1</b>', 'g'), chr(10), '<br>')"),
     "truncate_title": None,  # filled below
     "null_to_empty": """SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), '') AS quality,
-       coalesce(CAST(l.toxic AS VARCHAR), '') AS toxic
+       coalesce(CAST(l.toxic AS VARCHAR), '') AS toxic,
+       CASE WHEN l.toxic = 1 OR l.quality IS NULL THEN '' ELSE CAST(CAST(l.quality AS DOUBLE) AS VARCHAR) END AS score
 FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "tokenize": "SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), ' ') AS tokens FROM documents",
-    "keyword_head": _sel(f"array_to_string({_content_tokens_sql('text')}[1:3], ' ')"),
+    "keyword_head": _sel(f"array_to_string({keywords_sql('text')}[1:3], ' ')"),
 }
 
 from docweave.registry.chat import _truncate_sql  # noqa: E402

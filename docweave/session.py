@@ -69,14 +69,16 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets it to a shared file system; we only pick a
-    local folder when it is unset (tests, local bench)."""
+    On a cluster it must be set to a shared file system; a local folder is
+    picked only where it is unset and the master is local (tests, bench)."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         current = sc.getCheckpointDir()
         if current:
             return os.path.dirname(current.rstrip("/"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="docweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from docweave.operators import chunk as C
 from docweave.operators import html as H
 from docweave.plans.topk import knn
 from docweave.sources import sinks as SNK
+from docweave.sources.paths import missing_path
 
 
 def stream_retrieve(spark: SparkSession, queries_dir: str, query_schema: str, base: DataFrame,
@@ -45,23 +47,29 @@ def stream_retrieve(spark: SparkSession, queries_dir: str, query_schema: str, ba
 
 
 def stream_append_log(spark: SparkSession, in_dir: str, schema: str, out_dir: str, checkpoint: str,
-                      id_col: str, ts_col: str, watermark: str = "365 days",
-                      max_files_per_trigger: int = 1) -> None:
-    """Append records to ``out_dir``; a record id seen within the watermark is
-    dropped (replays and retries do not duplicate rows). The watermark bounds
-    the de-duplication state: it must cover how far behind the newest record a
-    first delivery can arrive (records older than the watermark are treated as
-    late and dropped), so choose it from the source's ordering guarantees."""
+                      id_col: str, ts_col: str, max_files_per_trigger: int = 1) -> None:
+    """Append records to ``out_dir``, partitioned by ``event_day``; a record
+    whose id has been written for its day is a replay and is left out. No
+    record is ever too late and no ids are held as state: each micro-batch is
+    compared with the written days it touches (partition pruning), so a retried
+    batch doesn't duplicate rows either. Records without a time go to the null
+    day."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(in_dir))
-    # the watermark needs an instant; wall-clock (NTZ) event times are read as
-    # UTC for it, and the record keeps its own column unchanged
-    wm = stream.withColumn("__wm", F.to_utc_timestamp(F.col(ts_col).cast("timestamp"),
-                                                      F.current_timezone()))
-    dedup = (wm.withWatermark("__wm", watermark).dropDuplicatesWithinWatermark([id_col])
-             .drop("__wm"))
-    q = (dedup.writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint).outputMode("append")
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        new = batch.withColumn("event_day", F.to_date(F.col(ts_col))).dropDuplicates([id_col, "event_day"])
+        try:
+            written = batch.sparkSession.read.parquet(out_dir).select(F.col(id_col).alias("__id"), F.col("event_day").alias("__day"))
+        except AnalysisException as e:
+            if not missing_path(e):
+                raise
+        else:
+            same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col("event_day").eqNullSafe(F.col("__day").cast("date"))
+            new = new.join(written, same, "left_anti")
+        new.write.mode("append").partitionBy("event_day").parquet(out_dir)
+
+    q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
