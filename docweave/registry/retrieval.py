@@ -110,6 +110,20 @@ def q_retrieve_topk(spark, sf, k=4):
     return hits.select("q_id", "b_id", "rank", F.round("dist", 6).alias("dist"))
 
 
+def q_knn_copies(spark, sf, copies=12, offset=1e6, k=20):
+    """Label centroids against twelve copies of every vector, all moved by a
+    large offset: ties, and nothing left of the digits that an expanded square
+    would need."""
+    def moved(c):
+        return F.transform(F.col(c).cast("array<double>"), lambda x: x + F.lit(offset))
+
+    base = _emb(spark, sf).select(F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("c"), "vec_id", moved("embedding").alias("v"))
+    base = base.select((F.col("vec_id") * copies + F.col("c")).alias("b"), "v")
+    cents = _centroids(spark, sf).select("c_id", moved("doc_vec").alias("v"))
+    hits = R.knn_l2(cents, base, k, q_id="c_id", q_vec="v", b_id="b", b_vec="v")
+    return hits.select("q_id", "b_id", "rank", F.round("dist", 6).alias("dist"))
+
+
 def q_knn_per_document(spark, sf):
     hits = R.knn_per_document(_centroids(spark, sf), _emb(spark, sf), 2, "label",
                               q_id="c_id", q_vec="doc_vec", b_id="vec_id", b_vec="embedding")
@@ -175,6 +189,7 @@ QUERIES = {
     "knn_l2": q_knn_l2,
     "knn_ranked": q_knn_ranked,
     "retrieve_topk": q_retrieve_topk,
+    "knn_copies": q_knn_copies,
     "knn_per_document": q_knn_per_document,
     "document_vector": q_document_vector,
     "route_then_rerank": q_route_then_rerank,
@@ -224,6 +239,13 @@ WITH {_CENTROIDS},
         FROM c CROSS JOIN embeddings e),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY dist, b_id) AS INTEGER) AS rank FROM d)
 SELECT q_id, b_id, rank, round(dist, 6) AS dist FROM r WHERE rank <= 4""",
+    "knn_copies": f"""
+WITH {_CENTROIDS},
+  b AS (SELECT vec_id * 12 + t.i AS b_id, list_transform(embedding, lambda x: x::DOUBLE + 1000000) AS v FROM embeddings, range(12) t(i)),
+  q AS (SELECT c_id AS q_id, list_transform(doc_vec, lambda x: x::DOUBLE + 1000000) AS v FROM c),
+  d AS (SELECT q_id, b_id, {sq_l2('q.v', 'b.v')} AS dist FROM q CROSS JOIN b),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY dist, b_id) AS INTEGER) AS rank FROM d)
+SELECT q_id, b_id, rank, round(dist, 6) AS dist FROM r WHERE rank <= 20""",
     "knn_per_document": f"""
 WITH {_CENTROIDS},
   d AS (SELECT c.c_id AS q_id, e.label, e.vec_id AS b_id, {sq_l2('c.doc_vec', 'e.embedding')} AS dist
