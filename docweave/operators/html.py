@@ -223,13 +223,32 @@ def tables_as_grids(tables: Column) -> Column:
 
 # -- documents ----------------------------------------------------------------
 
+def _escapes() -> dict[str, str]:
+    """Rule-built: controls, format marks and separators (all but the blank)
+    up to U+3000 as Python writes them inside a string literal."""
+    import unicodedata
+    hidden = (chr(cp) for cp in range(0x3001) if cp != 0x20 and unicodedata.category(chr(cp)) in ("Cc", "Cf", "Zs", "Zl", "Zp"))
+    return {"\\": "\\\\"} | {ch: repr(ch)[1:-1] for ch in hidden}
+
+
+_ESCAPES = _escapes()
+_HIDDEN = r"[\\\p{Cc}\p{Cf}\p{Zl}\p{Zp}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+
+
 def _py_list_repr(items: Column) -> Column:
-    """``str(list_of_str)``: ``['a', 'b']`` (quotes and backslashes escaped
-    the simple way)."""
-    quoted = F.transform(items, lambda s: F.concat(
-        F.lit("'"), F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")),
-        F.lit("'")))
-    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+    """``str(list_of_str)``: items in single quotes, in double quotes when they
+    hold a single but no double quote; backslashes and invisible characters are
+    escaped."""
+    table = F.create_map(*[F.lit(x) for pair in _ESCAPES.items() for x in pair])
+
+    def quoted(s: Column) -> Column:
+        spelled = F.array_join(F.transform(F.split(s, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")
+        body = F.when(s.rlike(_HIDDEN), spelled).otherwise(s)
+        single, double = F.contains(s, F.lit("'")), F.contains(s, F.lit('"'))
+        return (F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"')))
+                .otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))
 
 
 def page_document(parsed: DataFrame, options: list[str] = ("text", "table", "list"),

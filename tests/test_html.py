@@ -100,3 +100,11 @@ def test_dedupe_first_wins_random(spark):
                 seen.add(x.strip().lower())
                 exp.append(x)
         assert got[i] == exp, (l, got[i])
+
+
+def test_list_text_is_written_as_python_writes_it(spark):
+    from docweave.operators.html import _py_list_repr
+    items = ["plain", "it's", 'say "hi"', 'both \' and "', "back\\slash", "tab\there", "a\u00a0b", "z\u200bw", "\u2028", "é日本", ""]
+    df = spark.createDataFrame([(items,), ([],), (["x'"],)], "items array<string>")
+    got = [r[0] for r in df.select(_py_list_repr(F.col("items"))).collect()]
+    assert got == [str(items), "[]", str(["x'"])]
