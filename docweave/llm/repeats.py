@@ -17,8 +17,8 @@ same shuffle files feed four passes:
 4. The answers are put together and the covered tokens marked.
 
 A hot text or passage costs one entry per block, not one per document; no group
-holds more than one entry of a block for a key; all keys are compared with at
-least 64 bits besides the 48 of the anchor. Messages are packed arrays, so the
+holds more than one entry of a block for a key; stretches and windows are
+compared by 96 bits (48 of the anchor, 48 of their own). Messages are packed arrays, so the
 shuffles carry about six bytes for an anchor.
 
 Two rules: ``anywhere`` (a window is repeated when its sequence starts at any
@@ -277,7 +277,7 @@ class Block:
         key = self.ctx_key[self.ask][owner]
         weight = self.ctx_value if self.rule.earlier else np.where(self.settled, 2, self.ctx_value)
         # dealt by the window's own hash: an anchor may have many windows
-        key, h = h >> _U(16), (key << _U(16)) | (h & _U(0xFFFF))
+        key, h = h >> _U(16), key << _U(16)
         order, begin, self.win = _groups(key, h)
         self.win_owner = owner
         self.win_offset = start - self.found.first[self.ctx_one[self.ask]][owner]
@@ -320,6 +320,33 @@ _MESSAGE = "bucket int, block long, step int, keys binary, hashes binary, vals b
 _ANSWER = "block long, bucket int, step int, flags binary"
 
 
+def _pack48(values: np.ndarray) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack48(parts: list[bytes]) -> np.ndarray:
+    narrow = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 6) for x in parts])
+    wide = np.zeros((len(narrow), 8), np.uint8)
+    wide[:, :6] = narrow
+    return wide.view("<u8").ravel()
+
+
+def _pack_values(values: np.ndarray) -> bytes:
+    """The smallest value in 8 bytes, then distances from it, in the narrowest
+    of 1, 4 or 8 bytes that holds them."""
+    low = int(values.min())
+    far = int(values.max()) - low
+    kind = "<u1" if far < 1 << 8 else "<u4" if far < 1 << 32 else "<u8"
+    distance = values.astype(np.int64).view(_U) - np.int64(low).view(_U)
+    return np.int64(low).tobytes() + distance.astype(kind).tobytes()
+
+
+def _unpack_values(data: bytes, n: int) -> np.ndarray:
+    low = np.frombuffer(data, "<i8", 1)
+    kind = {1: "<u1", 4: "<u4", 8: "<u8"}[(len(data) - 8) // n]
+    return (np.frombuffer(data, kind, n, 8).astype(_U) + low.view(_U)).view(np.int64)
+
+
 def _send(block: int, step: int, buckets: int, keys: np.ndarray, cols: dict, known: dict[int, np.ndarray]) -> pa.Table:
     """Messages of a block. Earlier answers go along to one bucket, which sends
     them back (step below 0), so that each answer is worked out once."""
@@ -327,11 +354,8 @@ def _send(block: int, step: int, buckets: int, keys: np.ndarray, cols: dict, kno
     rows = [(block % buckets, block, -s, flags.tobytes(), b"", b"") for s, flags in known.items() if len(flags)]
     for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
         part = slice(cuts[b], cuts[b + 1])
-        packed = keys[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-        hashes = cols["hash"][part].astype("<u8").tobytes() if "hash" in cols else b""
-        value = cols["value"][part]
-        small = value.astype(np.uint8).tobytes() if step == 1 else value.astype("<i8").tobytes()
-        rows.append((int(b), block, step, packed, hashes, small))
+        hashes = _pack48(cols["hash"][part] >> _U(16)) if "hash" in cols else b""
+        rows.append((int(b), block, step, _pack48(keys[part]), hashes, _pack_values(cols["value"][part])))
     types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)],
                     names=["bucket", "block", "step", "keys", "hashes", "vals"])
@@ -346,20 +370,17 @@ def _answer(rule: Rule, step: int):
         return pa.concat_tables([echo, settle(table)]) if table.num_rows else echo
 
     def settle(table: pa.Table) -> pa.Table:
-        keys6 = [np.frombuffer(k, np.uint8).reshape(-1, 6) for k in table.column("keys").to_pylist()]
-        sizes = np.array([len(k) for k in keys6])
-        wide = np.zeros((int(sizes.sum()), 8), np.uint8)
-        wide[:, :6] = np.concatenate(keys6)
-        key = wide.view("<u8").ravel()
-        kind = np.uint8 if step == 1 else np.dtype("<i8")
-        value = np.concatenate([np.frombuffer(v, kind) for v in table.column("vals").to_pylist()]).astype(np.int64)
+        packed = table.column("keys").to_pylist()
+        sizes = np.array([len(k) // 6 for k in packed])
+        key = _unpack48(packed)
+        value = np.concatenate([_unpack_values(v, n) for v, n in zip(table.column("vals").to_pylist(), sizes)])
         blocks = np.array(table.column("block").to_pylist())
         if step == 1:
             order, begin, group = _groups(key)
             count = np.diff(np.append(begin, len(key)))
             flags = ((count > 1) | (_reduce(np.maximum, value, order, begin) > 0))[group].astype(np.uint8)
         else:
-            h = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()])
+            h = _unpack48(table.column("hashes").to_pylist())
             order, begin, group = _groups(key, h)
             whole = rule.merge(value, order, begin)
             flags = rule.settled(whole[group], value).astype(np.uint8)
