@@ -8,8 +8,14 @@ document holds. Scoring then looks n-grams up in tables of at most ``SHARD``
 entries, one pass over the texts for each shard (the
 log-probability of a document is a sum, so shards add up). The texts are never
 shuffled. A document's perplexity, shrunk towards the mean of its language by
-``SHRINK`` characters so that few words don't decide, is compared with a quantile of the perplexity
-of the trusted documents of its language, from an exact histogram.
+``SHRINK`` characters so that few words don't decide, is compared with a quantile
+of the perplexity of the trusted documents of its language, from an exact histogram.
+
+With ``folds`` that perplexity is of held-out texts: trusted documents are dealt
+into folds by a hash of their text (equal texts share one) and each fold is scored by a
+model of the others, since perplexity on the model's own training text is too
+low and would reject clean documents that it wasn't trained on. A language with text in one fold
+only is scored by the others' model of all languages. ``drop_low_quality`` holds out.
 
 Characters are classes of 12 bits: code points below 3072 themselves, others
 hashed into the 1024 classes above, which keeps the number of n-grams sublinear.
@@ -40,6 +46,7 @@ KEPT = 1 << 21
 QUANTILE = 0.99
 MARGIN = 1.1
 SHRINK = 32
+FOLDS = 5
 MAX_LANGUAGES = 30_000
 MAX_BROADCAST_IDS = 4_000_000
 BINS_PER_UNIT = 1000
@@ -80,7 +87,9 @@ def _chunks(batch, language_of: dict, text_name="text"):
             a, held = i + 1, 0
 
 
-def _count(language_of: dict, pooled: bool, order: int):
+def _count(language_of: dict, pooled: bool, order: int, held_out: bool):
+    """n-grams with their uses and trusted counts; with ``held_out`` only texts
+    that aren't trusted use theirs."""
     def rows(held):
         keys, counts, trusted = (np.concatenate(x) for x in zip(*held))
         order_ = np.argsort(keys, kind="stable")
@@ -103,7 +112,8 @@ def _count(language_of: dict, pooled: bool, order: int):
                         continue
                     keys, _ = _grams([texts[i] for i in mine], [langs[i] for i in mine], order)
                     found, counts = np.unique(keys, return_counts=True)
-                    held.append((found, counts, counts if wanted else np.zeros_like(counts)))
+                    none = np.zeros_like(counts)
+                    held.append((found, none if wanted and held_out else counts, counts if wanted else none))
                     size += len(found)
                     if wanted and pooled:  # the model of all languages
                         low = keys & _U((1 << (BITS * order)) - 1)
@@ -299,7 +309,8 @@ class QualityModel:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                  lang_col: str = "lang", label_id: str = "doc_id", trusted: str = "quality = 1", order: int = ORDER,
-                 quantile: float = QUANTILE, margin: float = MARGIN, shrink: float = SHRINK):
+                 quantile: float = QUANTILE, margin: float = MARGIN, shrink: float = SHRINK,
+                 folds: int = 1):
         self.text_col, self.lang_col, self.order, self.shrink = text_col, lang_col, order, float(shrink)
         spark = self.spark = docs.sparkSession
         ids = labels.filter(trusted).select(col(label_id).cast("long").alias("_id")).filter("_id is not null").distinct()
@@ -315,28 +326,57 @@ class QualityModel:
         # 0 is the model of all trusted text
         self.languages = {x: k + 1 for k, x in enumerate(sorted(taught, key=lambda x: (x is not None, x or "")))}
         pooled = any(r["lang"] not in taught for r in all_langs)
-        counted = joined.select("text", "lang", "trusted").mapInArrow(
-            _count(self.languages, pooled, order), "gram long, uses long, n long")
+        self.sent = self._fit(joined, self.languages, pooled)
+        self.shards = len(self.sent)
+        only = docs.withColumn("_id", col(id_col).cast("long")).join(ids, "_id", "left_semi").select(*[col(c) for c in {text_col, lang_col}])
+        self._fit_thresholds(self.scored(only) if folds < 2 else self._held_out(only, folds), quantile, margin)
+
+    def _fit(self, texts: DataFrame, languages: dict, pooled: bool, held_out: bool = False) -> list:
+        """Broadcast lookup tables of a model of the trusted ones of ``texts``."""
+        counted = texts.select("text", "lang", "trusted").mapInArrow(
+            _count(languages, pooled, self.order, held_out), "gram long, uses long, n long")
         grams = reliable_checkpoint(counted.groupBy("gram").agg(F.sum("uses").alias("uses"), F.sum("n").alias("n")))
-        table = reliable_checkpoint(gram_probabilities(grams, order))
-        self.shards = max(1, math.ceil(table.count() / SHARD))
-        self.sent = []
-        for s in range(self.shards):
-            part = table.filter(F.pmod(F.xxhash64("gram"), F.lit(self.shards)) == s).toArrow()
+        table = reliable_checkpoint(gram_probabilities(grams, self.order))
+        shards, sent = max(1, math.ceil(table.count() / SHARD)), []
+        for s in range(shards):
+            part = table.filter(F.pmod(F.xxhash64("gram"), F.lit(shards)) == s).toArrow()
             gram, uses, logp = (part.column(c).to_numpy() for c in ("gram", "uses", "logp"))
             at = np.lexsort((gram, -uses))
-            self.sent.append(spark.sparkContext.broadcast((gram[at].view(_U), logp[at])))
-        only = docs.withColumn("_id", col(id_col).cast("long")).join(ids, "_id", "left_semi").select(*[col(c) for c in {text_col, lang_col}])
-        self._fit_thresholds(self.scored(only), quantile, margin)
+            sent.append(self.spark.sparkContext.broadcast((gram[at].view(_U), logp[at])))
+        return sent
+
+    def _held_out(self, only: DataFrame, folds: int) -> DataFrame:
+        """``scored`` of the trusted rows, each fold by a model of the others."""
+        text = col(self.text_col).cast("string")
+        dealt = only.withColumn("_fold", F.pmod(F.xxhash64(text), F.lit(folds))).filter(F.length(text) > 0)
+        places = {(r["lang"], r["fold"]) for r in dealt.select(
+            col(self.lang_col).cast("string").alias("lang"), F.col("_fold").alias("fold")).distinct().collect()}
+        out = None
+        for fold in sorted({k for _, k in places}):
+            others = {x for x, k in places if k != fold}
+            languages = {x: k for x, k in self.languages.items() if x in others}
+            pooled = any(k == fold and x not in others for x, k in places)
+            texts = dealt.select(text.alias("text"), col(self.lang_col).cast("string").alias("lang"),
+                                 (F.col("_fold") != fold).alias("trusted"))
+            sent = self._fit(texts, languages, pooled, held_out=True)
+            part = reliable_checkpoint(self._scored(dealt.filter(F.col("_fold") == fold).drop("_fold"), sent, languages)
+                                       .select("lang", "score"))
+            for b in sent:
+                b.destroy()
+            out = part if out is None else out.union(part)
+        return self.scored(only) if out is None else out
 
     def scored(self, docs: DataFrame) -> DataFrame:
         """``(row, lang, score)`` with the number of characters and the sum of
         their log-probabilities."""
+        return self._scored(docs, self.sent, self.languages)
+
+    def _scored(self, docs: DataFrame, tables: list, languages: dict) -> DataFrame:
         packed = as_row(docs).select("row", F.col("row")[self.lang_col].cast("string").alias("lang"),
                                      F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("logp")).alias("score"))
         schema = T.StructType([packed.schema["row"], T.StructField("lang", T.StringType()), T.StructField("score", _SCORE)])
-        for sent in self.sent:
-            packed = packed.mapInArrow(_score(sent, self.languages, self.order, self.text_col), schema)
+        for sent in tables:
+            packed = packed.mapInArrow(_score(sent, languages, self.order, self.text_col), schema)
         return packed
 
     def _by_language(self, values: dict):
@@ -383,5 +423,6 @@ class QualityModel:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the classifier doesn't reject, with all columns."""
-    return QualityModel(docs, labels, **options).classify(docs).filter("not rejected").select("row.*")
+    """The documents that the classifier doesn't reject, with all columns;
+    thresholds from held-out perplexity."""
+    return QualityModel(docs, labels, **{"folds": FOLDS, **options}).classify(docs).filter("not rejected").select("row.*")

@@ -65,7 +65,7 @@ def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def op6_quality_lm(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    found = ql.QualityModel(docs, table(spark, sf, "labels")).classify(docs)
+    found = ql.QualityModel(docs, table(spark, sf, "labels"), folds=ql.FOLDS).classify(docs)
     return found.select("row.doc_id", "row.lang", F.round("perplexity", 4).alias("perplexity"), F.round("threshold", 4).alias("threshold"),
                         "rejected")
 
