@@ -13,13 +13,17 @@ from docweave.llm import exact_dedup as xd
 from docweave.llm import jaccard_join as jj
 from docweave.llm import language_id as li
 from docweave.llm import license_scan as ls
+from docweave.llm import mixture_shards as ms
 from docweave.llm import quality_lm as ql
 from docweave.llm import sentencepiece_codec as sp
+from docweave.llm import spelling
 from docweave.llm import suffix_dedup as sd
+from docweave.llm import token_alignment as ta
 from docweave.llm import warc
 from docweave.session import scratch_dir, table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 _WORD_CHARS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -96,6 +100,25 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return xd.exact_dedup(docs, "doc_id", "text", keep="max").withColumnRenamed("id", "doc_id")
 
 
+def op11_mixture_shards(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source", ms.text_size(F.col("text")).alias("size"),
+                                                ms.text_crc(F.col("text")).alias("text_crc32"))
+    found = ms.interleave(docs, tie=F.struct("text_crc32", "size"))
+    return found.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"), "row.source")
+
+
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.vocabulary(docs))
+
+
+def op13_token_alignment(spark: SparkSession, sf: str, byte_bpe: str = BYTE_TOKENIZER, pieces: str = TOKENIZER) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = ta.link_statistics(docs, ta.read_file(byte_bpe), ta.read_file(pieces))
+    return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
@@ -107,8 +130,22 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_mixture_shards": op11_mixture_shards,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_token_alignment": op13_token_alignment,
 }
 
+_CRC_TABLE = """bits(k, t) AS (SELECT 0, [x::BIGINT for x in range(256)] UNION ALL
+    SELECT k + 1, [CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END for x in t] FROM bits WHERE k < 8),
+  crc AS (SELECT t FROM bits WHERE k = 8)"""
+
+
+def _crc_sql(x: str) -> str:
+    """Unsigned CRC-32 of a string, with the table ``t`` of ``_CRC_TABLE``."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({x})), '..'), "
+            "lambda y: ('0x' || y)::BIGINT)), lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8)), 4294967295::BIGINT)")
+
+
 _B32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((h{k // 8} >> {35 - 5 * (k % 8)}) & 31 AS INTEGER), 1)" for k in range(32))
 
@@ -193,4 +230,33 @@ SELECT doc_id, kind, unit_no, name AS license, round(2.0 * c / n, 4) AS dice FRO
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_mixture_shards": f"""
+WITH RECURSIVE {_CRC_TABLE},
+  d AS (SELECT doc_id, source, coalesce(octet_length(encode(text)), 0) + 1 AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32
+        FROM documents, crc),
+  r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('{ms.SEED}:' || doc_id), doc_id, text_crc32, size) - 1 AS r,
+               count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM d),
+  o AS (SELECT *, row_number() OVER (ORDER BY (r + 0.5::DOUBLE) / n, md5('{ms.SEED}:' || coalesce('+' || source, '-')), r) - 1 AS pos FROM r),
+  c AS (SELECT *, CAST({ms.SHARDS} * pos // total AS INTEGER) AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, shard,
+       pos - (shard * total + {ms.SHARDS - 1}) // {ms.SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM c""",
+    "op12_spelling_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+  u AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS x FROM documents),
+  l AS (SELECT doc_id, translate(x, {_AZ}) AS x FROM u WHERE length(x) >= 7),
+  h AS (SELECT x, {_crc_sql("doc_id || ':' || x")} AS h FROM l, crc),
+  w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(x, 1, h % length(x)) || substr(x, h % length(x) + 2) ELSE x END AS word FROM h),
+  v AS (SELECT word, count(*) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+  p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+  e AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM p),
+  s AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS k FROM p),
+  m AS (SELECT a.word, b.word AS near, b.n FROM s a JOIN s b ON a.k = b.k AND a.word <> b.word
+        UNION ALL SELECT e.word, v.word, v.n FROM e JOIN v ON v.word = e.k
+        UNION ALL SELECT v.word, e.word, e.n FROM e JOIN v ON v.word = e.k),
+  c AS (SELECT word, count(*) AS n_near, max(n) AS top FROM m GROUP BY word),
+  b AS (SELECT word, n_near, top, min(near) AS near FROM m JOIN c USING (word) WHERE m.n = top GROUP BY ALL),
+  f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN near END AS form,
+               CASE WHEN top >= 10 * v.n THEN top END AS form_n FROM v LEFT JOIN b USING (word)),
+  z AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT z.word, f.form, k + 1 FROM z JOIN f ON f.word = z.root AND f.form IS NOT NULL)
+SELECT f.word, f.form, arg_max(z.root, z.k) AS root, f.n, f.n_near, f.form_n FROM f JOIN z ON z.word = f.word GROUP BY ALL""",
 }
