@@ -25,6 +25,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,50 +37,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm.common import as_row
+from docweave.llm.sentencepiece_codec import USER_DEFINED, read_model
 from docweave.session import scratch_dir
 
 MARK = "▁"
 MAX_FILE_BYTES = 64 << 20
 BLOCK_BYTES = 4 << 20
+KEPT_WORDS = 3 << 19
+SLICE_LETTERS = 1 << 16
+_BLANK = re.compile(r"(?<=\S) (?=\S)")
 ID_BITS = 32
 
 
-def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Number of A and of B tokens up to the end of each group, from strictly
-    growing end offsets whose last ones are equal."""
+def align(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
+    """Groups between common ends of strictly growing end offsets whose last
+    ones are equal: stretches ``(i, j, k)`` of ``k`` groups, the first of which
+    ends with token ``i`` of A and ``j`` of B; those after it are one to one."""
     n, i, shift = len(a), 0, 0
-    cut_a: list[int] = []
-    cut_b: list[int] = []
+    stretches = []
     while i < n:
         j = i + shift
-        if a[i] == b[j]:
-            width, at = 1, i + 1
-            while width:  # doubling while slices agree, halving after the first that doesn't
-                part = a[at:at + 2 * width]
-                if part and part == b[at + shift:at + shift + len(part)]:
-                    at += len(part)
-                    width *= 2
-                else:
-                    width //= 2
-            if at < n and a[at] == b[at + shift]:
-                at += 1
-            cut_a.extend(range(i + 1, at + 1))
-            cut_b.extend(range(j + 1, at + shift + 1))
-            i = at
-            continue
         x, y = a[i], b[j]
-        while x != y:
+        while x != y:  # an irregular group: walk to its end, take the new shift
             if x < y:
                 i += 1
                 x = a[i]
             else:
                 j += 1
                 y = b[j]
-        i += 1
-        shift = j + 1 - i
-        cut_a.append(i)
-        cut_b.append(i + shift)
-    return cut_a, cut_b
+        shift = j - i
+        at, width = i + 1, 1
+        while width:  # slices double while they agree, halve after the first that doesn't
+            part = a[at:at + width]
+            if part and part == b[at + shift:at + shift + width]:
+                at += width
+                width *= 2
+            else:
+                width //= 2
+        at = min(at, n)
+        stretches.append((i, j, at - i))
+        i = at
+    return stretches
+
+
+def group_ends(stretches: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of A and of B tokens up to the end of each group."""
+    i, j, k = np.array(stretches, np.int64).reshape(-1, 3).T
+    within = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    return np.repeat(i, k) + within + 1, np.repeat(j, k) + within + 1
 
 
 def _byte_level() -> dict[str, int]:
@@ -89,14 +96,17 @@ def _byte_level() -> dict[str, int]:
 
 
 class Tokens:
-    """Ids of texts by one tokenizer and the bytes of each id."""
+    """Token ids by one tokenizer and the bytes of each id. ``apart`` tells
+    that a text may be cut before a single blank between two other characters
+    without a change of its tokens."""
 
-    def __init__(self, entries: list[bytes]):
-        self.entries = entries
+    def __init__(self, entries: list[bytes], apart: bool):
+        self.entries, self.apart = entries, apart
         self.lengths = np.array([len(e) for e in entries], np.int64)
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.entries.__getitem__, ids.tolist()))
+    def whole(self, ids: list[int], text: str) -> bool:
+        """Whether the tokens' bytes are a blank and the text."""
+        return b"".join(map(self.entries.__getitem__, ids)) == (" " + text).encode()
 
 
 class ByteLevel(Tokens):
@@ -111,13 +121,14 @@ class ByteLevel(Tokens):
         entries = [b""] * (max(known.values()) + 1)
         for token, i in known.items():
             entries[i] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else token.encode()
-        super().__init__(entries)
+        # its pattern of words takes a blank to the word after it
+        cut = spec.get("pre_tokenizer") or {}
+        super().__init__(entries, cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not spec.get("normalizer"))
         self.tok = Tokenizer.from_str(data.decode())
         self.tok.encode_special_tokens = True
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, np.int64) for e in found]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 class Pieces(Tokens):
@@ -127,25 +138,126 @@ class Pieces(Tokens):
         import sentencepiece
 
         self.tok = sentencepiece.SentencePieceProcessor(model_proto=data)
-        entries = []
+        entries, apart = [], True
         for i in range(self.tok.get_piece_size()):
             piece = self.tok.id_to_piece(i)
             entries.append(bytes([int(piece[3:5], 16)]) if self.tok.is_byte(i) else piece.replace(MARK, " ").encode())
-        super().__init__(entries)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, np.int64) for x in self.tok.encode(texts, num_threads=1)]
-
-
-_BUILT: dict[int, tuple[ByteLevel, Pieces]] = {}
-
-
-def _tokenizers(byte_bpe: bytes, pieces: bytes) -> tuple[ByteLevel, Pieces]:
+            apart &= MARK not in piece.lstrip(MARK)
+        spec = read_model(data)
+        plain = not spec.charsmap and not spec.remove_extra_whitespaces and spec.add_dummy_prefix and spec.escape_whitespaces
+        super().__init__(entries, apart and plain and not any(k == USER_DEFINED for *_, k in spec.pieces))
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.tok.encode(texts, num_threads=1)
+
+
+class Kept:
+    """Ids of numbered words, found again for any list of word numbers."""
+
+    def __init__(self):
+        self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, order: np.ndarray, ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        """Words ``order`` (all new ones, in any order) and their ids."""
+        size = np.concatenate(sizes)
+        start = len(self.ids) + np.cumsum(size) - size
+        place = np.argsort(order)
+        self.ids = np.concatenate([self.ids, *ids])
+        self.starts = np.concatenate([self.starts, start[place]])
+        self.sizes = np.concatenate([self.sizes, size[place]])
+
+    def take(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, and where each word ends."""
+        size = self.sizes[words]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.starts[words] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+class Both:
+    """Ids of texts by both tokenizers. Where both allow it, texts are cut at
+    single blanks, and each distinct word is encoded once and kept (up to
+    ``KEPT_WORDS`` of them); new words are encoded many at a time, joined by
+    blanks as in a text."""
+
+    def __init__(self, byte_bpe: bytes, pieces: bytes):
+        self.a, self.b = ByteLevel(byte_bpe), Pieces(pieces)
+        self.cut = self.a.apart and self.b.apart
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.kept, self.odd = (Kept(), Kept()), np.zeros(0, bool)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes new words, given in the order of their numbers."""
+        joint = [k for k, w in enumerate(words) if self.cut and w and not w[-1].isspace()]
+        alone = sorted(set(range(len(words))).difference(joint))
+        todo, size, start = [[k] for k in alone], 0, 0
+        for at, k in enumerate(joint):
+            size += len(words[k]) + 1
+            if size >= SLICE_LETTERS or at == len(joint) - 1:
+                todo.append(joint[start:at + 1])
+                size, start = 0, at + 1
+        order, found, odd = [], ([], [], [], []), []
+        while todo:
+            part = todo.pop()
+            text = " ".join(words[k] for k in part)
+            ends = np.cumsum([len(words[k].encode()) + 1 for k in part])
+            got = [self._cut(side, text, ends) for side in (self.a, self.b)]
+            if None in got and len(part) > 1:  # a word in it is odd: halve
+                todo += [part[:len(part) // 2], part[len(part) // 2:]]
+                continue
+            order += part
+            odd += [None in got] * len(part)
+            for k, x in enumerate(got):
+                found[2 * k].append(np.zeros(0, np.int32) if x is None else x[0])
+                found[2 * k + 1].append(np.zeros(1, np.int64) if x is None else x[1])
+        place = np.array(order, np.int64)
+        for k, kept in enumerate(self.kept):
+            kept.add(place, found[2 * k], found[2 * k + 1])
+        self.odd = np.concatenate([self.odd, np.array(odd, bool)[np.argsort(place)]])
+
+    @staticmethod
+    def _cut(side: Tokens, text: str, ends: np.ndarray):
+        """Ids of the text and how many belong to each word; None where the
+        tokens' bytes aren't a blank and the text, or don't end with words."""
+        ids = side.encode([text])[0]
+        if not side.whole(ids, text):
+            return None
+        ids = np.array(ids, np.int32)
+        at = np.cumsum(side.lengths[ids])
+        upto = np.searchsorted(at, ends)
+        return (ids, np.diff(upto, prepend=-1)) if (at[upto] == ends).all() else None
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """None: no tokens."""
+        if len(self.number) > KEPT_WORDS:
+            self._forget()
+        words = [_BLANK.split(" " + t) if self.cut and t else [" " + t] for t in texts]
+        for w in words:
+            w[0] = w[0][1:]
+        ends = np.cumsum([len(w) for w in words])
+        known = len(self.number)
+        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(ends[-1]) if len(ends) else 0)
+        if len(self.number) > known:
+            self._learn(list(islice(self.number, known, None)))
+        bad = np.concatenate([[0], np.cumsum(self.odd[which])])[np.concatenate([[0], ends])]
+        sides = []
+        for kept in self.kept:
+            ids, upto = kept.take(which)
+            sides.append(np.split(ids, upto[ends - 1])[:-1])
+        return [None if not t or z else pair for t, z, pair in zip(texts, np.diff(bad), zip(*sides))]
+
+
+_BUILT: dict[int, Both] = {}
+
+
+def _tokenizers(byte_bpe: bytes, pieces: bytes) -> Both:
     """One pair per worker process."""
     key = hash((byte_bpe, pieces))
     if key not in _BUILT:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _BUILT[key] = ByteLevel(byte_bpe), Pieces(pieces)
+        _BUILT[key] = Both(byte_bpe, pieces)
     return _BUILT[key]
 
 
@@ -161,8 +273,11 @@ def read_file(path: str) -> bytes:
 def links(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
     """A code ``a << 32 | b`` for each overlap of an A with a B token: one for
     each stretch between neighbouring ends of either side."""
-    ends = np.union1d(ends_a, ends_b)
-    return ids_a[np.searchsorted(ends_a, ends)] << ID_BITS | ids_b[np.searchsorted(ends_b, ends)]
+    marks = np.zeros((2, int(ends_a[-1]) + 1), np.int32)
+    marks[0, ends_a] = marks[1, ends_b] = 1
+    ends = np.flatnonzero(marks[0] | marks[1])
+    before = np.cumsum(marks, axis=1, dtype=np.int32)
+    return ids_a[before[0, ends - 1]].astype(np.int64) << ID_BITS | ids_b[before[1, ends - 1]]
 
 
 def _spelled(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,22 +316,20 @@ _NO_TOKENS = (0, 0, 0, 0, "")
 _NO_CODES = np.zeros(0, np.int64)
 
 
-def _aligned(texts: list[str | None], a: ByteLevel, b: Pieces) -> tuple[list[tuple], list[np.ndarray]]:
+def _aligned(texts: list[str | None], both: Both) -> tuple[list[tuple], list[np.ndarray]]:
     """Per text the values of ``_STATS`` and its link codes."""
-    given = [t or "" for t in texts]
     stats, codes = [], []
-    for text, x, y in zip(given, a.encode(given), b.encode(given)):
-        want = (" " + text).encode()
-        if not text or a.joined(x) != want or b.joined(y) != want:
+    for found in both.encode([t or "" for t in texts]):
+        if found is None:
             stats.append(_NO_TOKENS)
             codes.append(_NO_CODES)
             continue
-        ends_a, ends_b = np.cumsum(a.lengths[x]), np.cumsum(b.lengths[y])
-        cut_a, cut_b = align(ends_a.tolist(), ends_b.tolist())
-        found = links(x, y, ends_a, ends_b)
-        digest = hashlib.sha256(group_text(x, y, np.array(cut_a), np.array(cut_b))).hexdigest()
-        stats.append((len(x), len(y), len(cut_a), len(found), digest))
-        codes.append(found)
+        x, y = found
+        ends_a, ends_b = np.cumsum(both.a.lengths[x]), np.cumsum(both.b.lengths[y])
+        cut_a, cut_b = group_ends(align(ends_a.tolist(), ends_b.tolist()))
+        codes.append(links(x, y, ends_a, ends_b))
+        digest = hashlib.sha256(group_text(x, y, cut_a, cut_b)).hexdigest()
+        stats.append((len(x), len(y), len(cut_a), len(codes[-1]), digest))
     return stats, codes
 
 
@@ -224,12 +337,16 @@ def _block(rows: list[pa.Array], stats: list[tuple], codes: list[np.ndarray], na
     """One row: the documents of a block with their links as sorted positions
     in the block's list of distinct pairs, stored as differences."""
     sizes = np.array([len(c) for c in codes], np.int64)
-    pairs, where, times = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+    every = np.concatenate(codes)
+    pairs = np.unique(every)
+    where = np.searchsorted(pairs, every)
+    times = np.bincount(where, minlength=len(pairs))
     own = np.repeat(np.arange(len(codes)), sizes) * max(len(pairs), 1) + where
     own, how_often = np.unique(own, return_counts=True)
     owner, where = np.divmod(own, max(len(pairs), 1))
     step = np.diff(where, prepend=0)
-    step[np.flatnonzero(np.diff(owner, prepend=-1))] = where[np.flatnonzero(np.diff(owner, prepend=-1))]
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    step[starts] = where[starts]
     held = np.bincount(owner, minlength=len(codes)) if len(owner) else np.zeros(len(codes), np.int64)
     row = pa.concat_arrays(rows)
     docs = pa.StructArray.from_arrays(
@@ -257,7 +374,7 @@ def align_blocks(df: DataFrame, byte_bpe: bytes, pieces: bytes, *, text_col: str
     sent = df.sparkSession.sparkContext.broadcast((byte_bpe, pieces))
 
     def run(batches):
-        a, b = _tokenizers(*sent.value)
+        both = _tokenizers(*sent.value)
         task = f"{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
         rows, stats, codes, held, made = [], [], [], 0, 0
         for batch in batches:
@@ -270,7 +387,7 @@ def align_blocks(df: DataFrame, byte_bpe: bytes, pieces: bytes, *, text_col: str
                 while end < len(texts) and held < BLOCK_BYTES:
                     held += len(texts[end].as_py() or "") + 64
                     end += 1
-                got = _aligned(texts.slice(start, end - start).to_pylist(), a, b)
+                got = _aligned(texts.slice(start, end - start).to_pylist(), both)
                 rows.append(rest.slice(start, end - start))
                 stats += got[0]
                 codes += got[1]

@@ -19,7 +19,7 @@ FIELDS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sh
 @given(st.sets(st.integers(1, 120), max_size=80), st.sets(st.integers(1, 120), max_size=80), st.booleans())
 def test_groups_end_at_common_ends(x, y, alike):
     a, b = sorted(x | {121}), sorted((x if alike else y) | {121})
-    cut_a, cut_b = ta.align(a, b)
+    cut_a, cut_b = ta.group_ends(ta.align(a, b))
     assert [a[k - 1] for k in cut_a] == sorted(set(a) & set(b)) == [b[k - 1] for k in cut_b]
 
 
