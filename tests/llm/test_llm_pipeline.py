@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 import corpus_pipeline as CP
 import llm_brute as B
 from docweave.llm import language_id
+from docweave.llm import quality_lm as ql
 from docweave.llm import sentencepiece_codec as sp
 from docweave.llm.registry import TOKENIZER
 from docweave.session import table
+from test_llm_held_out import held_out_quality
 
 
 def test_pipeline_against_plain_versions(spark, sf):
-    rows = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text", "lang").collect()]
+    read = table(spark, sf, "documents")
+    rows = [tuple(r) for r in read.select("doc_id", "text", "lang").collect()]
+    folds = {r[0]: r[1] for r in read.select("text", F.pmod(F.xxhash64("text"), F.lit(ql.FOLDS))).collect()}
     trusted = {r["doc_id"] for r in table(spark, sf, "labels").filter("quality = 1").collect()}
     items = [(r["item_id"], r["text"]) for r in table(spark, sf, "benchmark").collect()]
-    scores = B.quality(rows, trusted)
-    docs = [(i, t) for n, (i, t, _) in enumerate(rows) if scores[n][0] is not None and scores[n][0] <= scores[n][1]]
+    scores = held_out_quality(rows, trusted, folds)
+    docs = [(i, t) for i, t, _ in rows if i in scores and scores[i][0] <= scores[i][1]]
     docs = [(i, t) for i, t in docs if i == max(j for j, u in docs if u == t)]
     smallest = {i: c for i, _, c in B.jaccard(docs, 5, 80)}
     docs = [(i, t) for i, t in docs if smallest[i] == i]
@@ -37,6 +41,11 @@ def test_stages_keep_the_columns_of_documents(spark, sf):
         assert out.schema.names == docs.schema.names
         assert stage(spark, docs.limit(0), sf).count() == 0
         assert out.select("doc_id").subtract(docs.select("doc_id")).count() == 0
+    encode = CP.STAGES[-1][1]
+    ids = {r["doc_id"]: r["ids"] for r in encode(spark, docs, sf).collect()}
+    assert ids == {r["doc_id"]: None if r["text"] is None else sentencepiece.SentencePieceProcessor(model_file=TOKENIZER).encode(r["text"])
+                   for r in docs.collect()}
+    assert encode(spark, docs.limit(0), sf).count() == 0
 
 
 def _varint(n):
