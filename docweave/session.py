@@ -16,6 +16,7 @@ TABLES = (
 
 
 _SHIPPED: set[str] = set()
+_CHECKPOINT_DIRS: dict[str, str] = {}  # by application, where the setting names none
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -72,15 +73,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster it must be set to a shared file system; a local folder is
     picked only where it is unset and the master is local (tests, bench)."""
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or _CHECKPOINT_DIRS.get(sc.applicationId)
     if not d:
         current = sc.getCheckpointDir()
         if current:
             return os.path.dirname(current.rstrip("/"))
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        d = tempfile.mkdtemp(prefix="docweave-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = _CHECKPOINT_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="docweave-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
