@@ -1,17 +1,19 @@
 """Exact k-nearest-neighbour join without emitting all pairs.
 
-Two ways to bring queries and base rows together:
+Three ways to bring queries and base rows together:
 
 * **broadcast queries** when ``n_queries * dim * 8`` is under
   ``max_broadcast_bytes`` (checked by one collect of at most that size): every
   base partition computes, per Arrow batch, a partial top-k per query. Only
   ``k`` candidates per query per batch leave the task.
-* **block cogroup** beyond that bound, so that no query table ever passes
+* **pivot cells** beyond that bound for L2 without groups (``pivots``): each
+  query is shipped only to cells that the triangle inequality can't exclude.
+* **block cogroup** for the rest, so that no query table ever passes
   through the driver: queries and base are hashed into ``Q x B`` blocks; cell
   ``(qb, bb)`` sees ``n_q/Q`` queries and ``n_b/B`` base rows and again emits
   only a partial top-k. Block sizes come from the counts.
 
-Either way the final ``row_number() <= k`` runs over at most
+In every case the final ``row_number() <= k`` runs over at most
 ``k * batches`` candidates per query, and Spark plans it with a partial
 ``WindowGroupLimit`` before the shuffle.
 
@@ -38,6 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from docweave.plans.pivots import PivotCells, pivot_knn
+
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Block-cogroup sizes. Each base row is shipped to every query block and
 # each query row to every base block, so the shuffle is
@@ -250,6 +254,16 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, q_id: str = "q_id",
                     [pa.field(f.name, a.type) for f, a in zip(cand_schema.fields, arrays)]))
 
         cands = bs.mapInArrow(run, cand_schema)
+    elif metric == "l2" and not group:
+        odd = lambda df, v: df.filter((F.size(v) != dim) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+        if not odd(qs, "q_vec").unionByName(odd(bs.toDF("q_id", "q_vec"), "q_vec")).isEmpty():
+            raise ValueError(f"a vector doesn't have {dim} finite values")
+        # of equal vectors only the smallest ids can be among the best
+        copies = Window.partitionBy("b_vec").orderBy("b_id")
+        few = (bs.withColumn("b_vec", F.transform(F.col("b_vec").cast("array<double>"), lambda x: x + F.lit(0.0)))
+               .withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + int(exclude_self)).drop("copy"))
+        cells = PivotCells(few, "b_id", "b_vec", dim)
+        return pivot_knn(qs, cells, k, exclude_self=exclude_self).select("q_id", "b_id", "score", "rank")
     else:
         n_q = qs.count()
         n_b = bs.count()

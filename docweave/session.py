@@ -99,5 +99,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` as a table in the shared folder, read again. Unlike a checkpoint
+    it carries none of the plan's constraints along, which grow from round to
+    round in loops of joins."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
