@@ -3,13 +3,14 @@ cluster names, topic trees, LDA, density clusters, 2-D projection."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import PCA, CountVectorizer
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
+from docweave.operators import lda
 from docweave.operators.retrieve import document_vector
 from docweave.plans.topk import knn, radius_components_edges
 from docweave.session import written
@@ -84,27 +85,12 @@ def topic_tree(items: DataFrame, topic_col: str = "topic", sub_col: str = "sub")
 
 
 def lda_topics(docs: DataFrame, text_col: str, k: int = 5, max_iter: int = 10, seed: int = 42,
-               top_words: int = 10) -> DataFrame:
+               top_words: int = 10, id_col: str = "doc_id") -> DataFrame:
     """LDA over topic-token counts (de-accented alphabetic tokens, stop words
     out; one document per row, not one joined string); top words per topic:
-    ``(topic, rank, term, weight)``."""
-    toks = docs.select(tx.topic_tokens(F.col(text_col)).alias("tokens"))
-    # every distinct term is a feature; of the vocabulary only the described
-    # terms (k * top_words) leave the driver
-    terms = toks.select(F.explode("tokens").alias("t")).agg(F.countDistinct("t")).first()[0]
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0,
-                         vocabSize=max(1, terms)).fit(toks)
-    feats = cv.transform(toks).cache()
-    model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features").fit(feats)
-    feats.unpersist()  # the fitted model holds what the topics need
-    topics = model.describeTopics(top_words)
-    spark = docs.sparkSession
-    described = {i for r in topics.select("termIndices").collect() for i in r["termIndices"]}
-    vocab = spark.createDataFrame([(i, cv.vocabulary[i]) for i in sorted(described)], "ix int, term string")
-    ex = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("r", "t"))
-    return (ex.select("topic", (F.col("r") + 1).alias("rank"), F.col("t.termIndices").alias("ix"),
-                      F.col("t.termWeights").alias("weight"))
-            .join(F.broadcast(vocab), "ix").drop("ix"))
+    ``(topic, rank, term, weight)``. Documents without tokens play no part;
+    without any there are no rows."""
+    return lda.top_terms(lda.fit(docs, text_col, id_col, k, max_iter, seed), k, top_words)
 
 
 def _canonical(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -154,9 +140,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, checkpoint_every: i
             .select("id", F.least(F.col("id"), F.coalesce(F.col("mv"), F.col("id"))).alias("comp")))
 
 
-def density_clusters(vectors: DataFrame, id_col: str, vec_col: str, radius: float,
+def radius_clusters(vectors: DataFrame, id_col: str, vec_col: str, radius: float,
                      min_size: int = 5) -> DataFrame:
-    """Density clusters (re-aimed): vectors within squared L2 ``radius`` are
+    """Clusters of one radius: vectors within squared L2 ``radius`` are
     linked; connected components with at least ``min_size`` members are
     clusters (labelled by their smallest id), the rest noise (-1)."""
     edges = radius_components_edges(vectors, radius, id_col=id_col, vec_col=vec_col)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as tx
 from docweave.operators import graph as G
 from docweave.operators import html as H
+from docweave.operators import topics as TP
 from docweave.registry.html import _TP, table_pages
 from docweave.registry.text import keywords_sql
 from docweave.plans.parallel import spread
@@ -42,6 +43,12 @@ def q_graph_to_text(spark, sf):
 
 
 def _topic_keywords(spark, sf):
+    """Top words of the topics fitted to all documents."""
+    words = TP.lda_topics(table(spark, sf, "documents"), "text", 5, 10, 42, 10)
+    return words.select(F.concat(F.lit("Topic_"), F.col("topic").cast("string")).alias("topic"), F.col("term").alias("keyword"))
+
+
+def _lang_keywords(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select(F.col("lang").alias("topic"), tx.keyword_head(F.col("text"), 1).alias("keyword")) \
         .filter(F.col("keyword") != "")
@@ -63,6 +70,22 @@ def q_format_triples(spark, sf):
     return G.format_triples(m, "dst").withColumnRenamed("dst", "topic")
 
 
+def q_lang_keyword_edges(spark, sf):
+    _, edges = G.topic_keyword_edges(_lang_keywords(spark, sf))
+    return edges
+
+
+def q_lang_match_pattern(spark, sf):
+    nodes, edges = G.topic_keyword_edges(_lang_keywords(spark, sf))
+    return G.match_pattern(nodes, edges, "Keyword", "RELATED_TO", "Topic").select("line")
+
+
+def q_lang_format_triples(spark, sf):
+    nodes, edges = G.topic_keyword_edges(_lang_keywords(spark, sf))
+    m = G.match_pattern(nodes, edges, "Keyword", "RELATED_TO", "Topic")
+    return G.format_triples(m, "dst").withColumnRenamed("dst", "topic")
+
+
 def graph_scripts(spark, sf):
     """One graph script per region: create the region and its nations, link
     each nation to the region, and link a never-created Continent node; one
@@ -136,6 +159,9 @@ QUERIES = {
     "format_triples": q_format_triples,
     "topic_keyword_edges": q_topic_keyword_edges,
     "match_pattern": q_match_pattern,
+    "lang_format_triples": q_lang_format_triples,
+    "lang_keyword_edges": q_lang_keyword_edges,
+    "lang_match_pattern": q_lang_match_pattern,
     "graph_script_to_tables": q_graph_script_to_tables,
     "scan_graph_script": q_scan_graph_script,
     "scan_vis_graph": q_scan_vis_graph,
@@ -170,11 +196,11 @@ FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst""",
   nl AS (SELECT id, CASE WHEN id = upper(id) THEN 'ACRONYM' ELSE 'NAME' END AS label FROM nodes)
 SELECT e.src, e.dst, a.label AS src_label, b.label AS dst_label
 FROM edges e JOIN nl a ON a.id = e.src JOIN nl b ON b.id = e.dst""",
-    "topic_keyword_edges": f"""WITH {_TK}
+    "lang_keyword_edges": f"""WITH {_TK}
 SELECT DISTINCT 'Keyword' AS src_label, keyword AS src, 'RELATED_TO' AS rel, 'Topic' AS dst_label, topic AS dst FROM tk""",
-    "match_pattern": f"""WITH {_TK}
+    "lang_match_pattern": f"""WITH {_TK}
 SELECT DISTINCT keyword || ' -[RELATED_TO]-> ' || topic AS line FROM tk""",
-    "format_triples": f"""WITH {_TK}
+    "lang_format_triples": f"""WITH {_TK}
 SELECT topic, string_agg(keyword || ' -[RELATED_TO]-> ' || topic, chr(10) ORDER BY keyword || ' -[RELATED_TO]-> ' || topic) AS text
 FROM tk GROUP BY topic""",
     "graph_script_to_tables": """SELECT n.n_regionkey AS r_regionkey, 'Nation' AS src_label, n.n_name AS src, 'IN' AS rel,
