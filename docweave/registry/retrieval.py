@@ -52,6 +52,9 @@ def rag_prompts(spark, sf, k=4):
                     R.build_prompt(F.col("question"), F.col("context")).alias("prompt")))
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def q_chunk_fixed_text(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return C.chunk_fixed(docs, "text", 500).select("doc_id", "chunk_no", "start", "end", "chunk")
@@ -64,12 +67,12 @@ def q_chunk_recursive_chars(spark, sf):
 
 def q_chunk_recursive_tokens(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return C.chunk_recursive_tokens(docs, ["doc_id"], "text", 500, 20)
+    return C.chunk_recursive_tokens(docs, ["doc_id"], "text", 500, 20, VOCABULARY)
 
 
 def q_chunk_sentences(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return C.chunk_sentences(docs, ["doc_id"], "text")
+    return C.chunk_sentences(docs, ["doc_id"], "text", vocabulary=VOCABULARY)
 
 
 def q_chunk_union(spark, sf):
