@@ -162,7 +162,7 @@ def cluster_count(labels: DataFrame, label_col: str = "cluster") -> DataFrame:
 
 
 def project_2d(vectors: DataFrame, vec_col: str) -> DataFrame:
-    """2-D projection (re-aimed to PCA)."""
+    """2-D projection by PCA; ``layout`` has the one that keeps neighbours."""
     v = vectors.withColumn("__v", array_to_vector(F.col(vec_col).cast("array<double>")))
     model = PCA(k=2, inputCol="__v", outputCol="__p").fit(v)
     out = model.transform(v).withColumn("__a", vector_to_array("__p"))
