@@ -8,6 +8,7 @@ from docweave.functions import text as tx
 from docweave.operators import chunk as C
 from docweave.operators import html as H
 from docweave.operators import retrieve as R
+from docweave.operators import sentences as SE
 from docweave.registry.sqlfrag import cosine, sq_l2
 from docweave.plans.parallel import spread
 from docweave.session import reliable_checkpoint, table
@@ -72,7 +73,20 @@ def q_chunk_recursive_tokens(spark, sf):
 
 def q_chunk_sentences(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return C.chunk_sentences(docs, ["doc_id"], "text", vocabulary=VOCABULARY)
+    return C.chunk_sentences(docs, ["doc_id"], "text", vocabulary=VOCABULARY, model=SE.sentence_model(docs))
+
+
+def q_sentence_split(spark, sf):
+    """Sentences of all documents by the boundaries learnt from them, without
+    fillers: at least five words, not starting with "did you know"."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    found = SE.split_learnt(docs, SE.sentence_model(docs), ["doc_id"])
+    return found.filter(tx.has_min_words(F.col("sentence"), 5) & ~F.lower("sentence").startswith("did you know"))
+
+
+def q_abbreviations(spark, sf):
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return SE.abbreviations(SE.corpus_counts(docs, "text")).select("type", F.round("score", 4).alias("score"))
 
 
 def q_chunk_union(spark, sf):
@@ -187,6 +201,8 @@ QUERIES = {
     "chunk_recursive_chars": q_chunk_recursive_chars,
     "chunk_recursive_tokens": q_chunk_recursive_tokens,
     "chunk_sentences": q_chunk_sentences,
+    "sentence_split": q_sentence_split,
+    "abbreviations": q_abbreviations,
     "chunk_union": q_chunk_union,
     "embed_text": q_embed_text,
     "knn_l2": q_knn_l2,
