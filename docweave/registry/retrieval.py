@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as tx
 from docweave.operators import chunk as C
 from docweave.operators import html as H
+from docweave.operators import lsa
 from docweave.operators import retrieve as R
 from docweave.operators import sentences as SE
 from docweave.registry.sqlfrag import cosine, sq_l2
@@ -105,6 +106,13 @@ def q_embed_text(spark, sf):
                                                   lambda a, x: a + x * x)), 3).alias("norm"))
 
 
+def q_embed_dense(spark, sf):
+    """Learnt vectors of all documents."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return lsa.fit_dense(docs, "doc_id", "text").embed(docs, ["doc_id"], "text").select(
+        "doc_id", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
+
+
 def q_knn_l2(spark, sf):
     e = _emb(spark, sf)
     hits = R.knn_l2(e, e, 3, q_id="vec_id", q_vec="embedding", b_id="vec_id",
@@ -205,6 +213,7 @@ QUERIES = {
     "abbreviations": q_abbreviations,
     "chunk_union": q_chunk_union,
     "embed_text": q_embed_text,
+    "embed_dense": q_embed_dense,
     "knn_l2": q_knn_l2,
     "knn_ranked": q_knn_ranked,
     "retrieve_topk": q_retrieve_topk,
