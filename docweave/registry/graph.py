@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
+from docweave.operators import entities as EN
 from docweave.operators import graph as G
 from docweave.operators import html as H
 from docweave.operators import topics as TP
@@ -37,6 +38,18 @@ def q_entity_chain_graph(spark, sf):
                         G.entity_label(F.col("dst")).alias("dst_label"))
 
 
+def q_multiword_names(spark, sf):
+    return EN.multiword_names(spread(table(spark, sf, "documents"))).withColumn("ratio", F.round("ratio", 6))
+
+
+def q_named_entity_graph(spark, sf):
+    """Neighbouring entities of all documents, names of several words being
+    one node."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    edges = EN.entity_edges(EN.tagged(docs, EN.multiword_names(docs)))
+    return edges.select("src", "dst", G.entity_label(F.col("src")).alias("src_label"), G.entity_label(F.col("dst")).alias("dst_label"))
+
+
 def q_graph_to_text(spark, sf):
     _, edges = _graph(spark, sf)
     return G.graph_to_text(edges)
@@ -155,6 +168,8 @@ def q_sink_graph(spark, sf):
 QUERIES = {
     "table_to_graph": q_table_to_graph,
     "entity_chain_graph": q_entity_chain_graph,
+    "multiword_names": q_multiword_names,
+    "named_entity_graph": q_named_entity_graph,
     "graph_to_text": q_graph_to_text,
     "format_triples": q_format_triples,
     "topic_keyword_edges": q_topic_keyword_edges,
@@ -189,6 +204,19 @@ ORACLE = {
 SELECT e.src, e.dst, a.label AS src_label, b.label AS dst_label
 FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst""",
     "graph_to_text": f"WITH {_WRITES} SELECT src, dst, src || ': ' || dst AS text FROM edges",
+    "multiword_names": rf"""WITH p AS (SELECT string_split(unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+(?: [\p{{L}}\p{{N}}]+)*')), ' ') AS w FROM documents),
+  g AS (SELECT k, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') AS g FROM (
+          SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, {EN.LONGEST + 1}) t(k))
+        WHERE len(list_filter(w[i:i + k - 1], lambda x: NOT regexp_matches(x, '^\p{{Lu}}'))) = 0),
+  c AS (SELECT k, g, count(*) AS n FROM g GROUP BY k, g),
+  tot AS (SELECT sum(n) AS total FROM c WHERE k = 1),
+  pr AS (SELECT c.g AS pair, c.n * tot.total / (a.n * b.n) AS ratio FROM c JOIN c a ON a.k = 1 AND a.g = split_part(c.g, ' ', 1)
+         JOIN c b ON b.k = 1 AND b.g = split_part(c.g, ' ', 2), tot WHERE c.k = 2),
+  i AS (SELECT g, k, n, unnest(range(1, k)) AS j FROM c WHERE k > 1 AND n >= {EN.LEAST}),
+  h AS (SELECT i.g, i.k, i.n, min(pr.ratio) AS ratio, count(*) AS held FROM i
+        JOIN pr ON pr.pair = split_part(i.g, ' ', i.j::INTEGER) || ' ' || split_part(i.g, ' ', (i.j + 1)::INTEGER)
+        WHERE pr.ratio >= {EN.RATIO} GROUP BY i.g, i.k, i.n)
+SELECT g AS name, CAST(k AS INTEGER) AS n_words, n, round(ratio, 6) AS ratio FROM h WHERE held = k - 1""",
     "entity_chain_graph": f"""WITH d AS (SELECT {_ENT} AS e FROM documents),
   p AS (SELECT e[i] AS a, e[i + 1] AS b FROM d, range(1, len(e)) t(i) WHERE len(e) >= 2),
   edges AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM p),
