@@ -99,13 +99,14 @@ def abbreviations(counts: DataFrame) -> DataFrame:
     """``(type, score)`` of the types whose stop belongs to them."""
     words = counts.filter("kind in ('w', 's') and type <> ''").groupBy("type").agg(
         F.sum(F.when(F.col("kind") == "s", F.col("n")).otherwise(0)).alias("s"), F.sum(F.when(F.col("kind") == "w", F.col("n")).otherwise(0)).alias("w"))
-    total = words.agg(F.sum("s").alias("stops"), F.sum(F.col("s") + F.col("w")).alias("all"))  # one row
-    p = F.col("stops") / F.col("all")
+    words = written(words, "sentence_words")
+    stops, every = words.agg(F.sum("s").cast("double")).scalar(), words.agg(F.sum(F.col("s") + F.col("w")).cast("double")).scalar()
+    p = stops / F.greatest(every, F.lit(1.0))
     ratio = -2.0 * (F.col("s") * F.log(p) + F.col("w") * F.log(1 - p) - F.col("s") * F.log(F.lit(STOP_SHARE)) - F.col("w") * F.log(F.lit(1 - STOP_SHARE)))
     inner = F.length("type") - F.length(F.replace("type", F.lit("."), F.lit("")))
     letters = F.length("type") - inner
     score = ratio * F.exp(-letters) * (inner + 1) * F.pow(letters, -F.col("w"))
-    found = words.filter("s > 0").join(F.broadcast(total)).filter("stops < all")
+    found = words.filter((F.col("s") > 0) & (p < 1))
     return found.filter(F.col("type").rlike(r"\p{L}") & ~F.col("type").rlike(r"^\p{L}$")).select("type", score.alias("score")).filter(
         F.col("score") >= ABBREVIATION)
 
