@@ -1,4 +1,5 @@
-"""Removal of repeated token spans by a compacted de Bruijn graph.
+"""Removal of repeated token spans after the idea of a compacted de Bruijn
+graph: edges are sampled and exchanged by hash, no edge table is joined.
 
 Tokens are words; the k-mers of ``seed`` words are the edges of a de Bruijn
 graph, of which each window of ``window`` words keeps its smallest by hash. An

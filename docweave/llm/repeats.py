@@ -18,7 +18,8 @@ same shuffle files feed four passes:
 
 A hot text or passage costs one entry per block, not one per document; no group
 holds more than one entry of a block for a key; stretches and windows are
-compared by 96 bits (48 of the anchor, 48 of their own). Messages are packed arrays, so the
+compared by hashes (48 bits of the anchor and 48 of their own, both from the
+same tokens), never as text. Messages are packed arrays, so the
 shuffles carry about six bytes for an anchor.
 
 Two rules: ``anywhere`` (a window is repeated when its sequence starts at any

@@ -1,12 +1,11 @@
-"""Removal of byte strings that an earlier document holds, by induced sorting
-of sampled suffixes.
+"""Removal of byte strings that an earlier document holds, by an exchange of
+sampled runs. No suffixes are sorted; the README says where this departs from
+external induced sorting.
 
-Of the suffixes that start in a window of ``window`` bytes only one is sampled,
+Of the byte runs that start in a window of ``window`` bytes only one is sampled,
 the one whose first ``seed`` bytes have the smallest hash, so equal windows
-sample at equal offsets (as the leftmost-S positions of induced sorting do).
-Sampled suffixes are range-partitioned and sorted by Spark's spilling shuffle
-and grouped in their buckets; a group's members are told apart by the stretch of
-bytes around the sample (their common prefix and left context), and the
+sample at equal offsets. Samples are dealt to buckets by ranges of their hash;
+those of one hash are told apart by a hash of the stretch around them, and the
 positions between two samples are induced from the sample they belong to:
 equal stretches settle all of them, and only where stretches differ are single
 windows compared. ``repeats`` holds the exchanges; see README for what this
