@@ -105,10 +105,11 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, *, l_id: str, l_text: st
     and nulls otherwise.
 
     Exact without all pairs: (1) strings are de-duplicated, so a hot group of
-    copies is handled by counting; (2) candidates are pairs of distinct
-    strings sharing a prefix q-gram (prefix filtering guarantees every pair
-    with ratio >= threshold is among them); (3) candidates are verified with
-    Levenshtein in the JVM."""
+    copies is handled by counting; (2) a left string whose rows all have an
+    identical right string is settled, as no other string has ratio 1; (3)
+    for the rest, candidates are pairs of distinct strings sharing a prefix
+    q-gram (prefix filtering guarantees every pair with ratio >= threshold is
+    among them); (4) candidates are verified with Levenshtein in the JVM."""
     t = threshold
     # both inputs are read several times below: materialise the two narrow
     # projections once in the shared checkpoint folder (cuts lineage too)
@@ -120,8 +121,13 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, *, l_id: str, l_text: st
           .groupBy("rs").agg(F.min("rid").alias("r2")))
     rdist = rdist.join(r2, "rs", "left")
     ldist = L.select("ls").distinct()
+    # strings still to be searched for: those of left rows without an identical
+    # right string (of another id, with exclude_self)
+    same = L.join(rdist, L["ls"] == rdist["rs"], "left")
+    alone = F.col("rs").isNull() | (F.lit(exclude_self) & (F.col("r1") == F.col("lid")) & F.col("r2").isNull())
+    lopen = reliable_checkpoint(same.filter(alone & F.col("ls").isNotNull()).select("ls").distinct())
 
-    # candidate pairs of distinct strings (including identical ones)
+    # candidate pairs of distinct strings
     def prefixes(df, col):
         n = F.length(F.col(col))
         d = F.floor((1 - t) / t * n + 1e-9).cast("int")
@@ -133,7 +139,7 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, *, l_id: str, l_text: st
         occ = ex.withColumn("k", F.row_number().over(Window.partitionBy(col, "g0").orderBy("i")))
         return occ.select(col, "d", F.concat(F.col("g0"), F.lit("#"), F.col("k").cast("string")).alias("g"))
 
-    lg = prefixes(ldist, "ls")
+    lg = prefixes(lopen, "ls")
     rg = prefixes(rdist.select("rs"), "rs")
     freq = (lg.select("g").unionAll(rg.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f")))
 
@@ -149,7 +155,7 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, *, l_id: str, l_text: st
         d = F.floor((1 - t) / t * n + 1e-9)
         return (n - q + 1 - q * d) < 1
 
-    lw = ldist.filter(weak("ls")).select(
+    lw = lopen.filter(weak("ls")).select(
         "ls", F.explode(F.sequence(F.ceil(F.length("ls") * t - 1e-9).cast("int"),
                                    F.floor(F.length("ls") / t + 1e-9).cast("int"))).alias("len"))
     rl = rdist.select("rs", F.length("rs").alias("len"))

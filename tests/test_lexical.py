@@ -91,3 +91,22 @@ def test_bleu_udf_equals_relational(spark, sf):
     a = {r.doc_id: round(r.bleu, 9) for r in LX.bleu(p, "doc_id", "reference", "candidate").collect()}
     b = {r.doc_id: round(r.bleu, 9) for r in LX.bleu_relational(p, "doc_id", "reference", "candidate").collect()}
     assert a == b
+
+
+def test_fuzzy_settled_strings_are_not_searched_for(spark, monkeypatch):
+    kept = []
+
+    def held(df):
+        kept.append(df.localCheckpoint())
+        return kept[-1]
+
+    monkeypatch.setattr(LX, "reliable_checkpoint", held)
+    rows = [(1, "red apple pie"), (2, "red apple pie"), (3, "red apple pies"), (4, None), (5, ""), (6, "green plum"), (6, "green plum")]
+    df = spark.createDataFrame(rows, "id long, s string")
+    got = {(r["id"], r["match_id"], r["ratio"]) for r in LX.fuzzy_best_match(df, df, l_id="id", l_text="s", r_id="id", r_text="s").collect()}
+    assert got == {(1, 1, 1.0), (2, 1, 1.0), (3, 3, 1.0), (4, None, None), (5, 5, 1.0), (6, 6, 1.0)}
+    assert kept[2].count() == 0  # every string has its like
+    got = {(r["id"], r["match_id"], r["ratio"] and round(r["ratio"], 6)) for r in LX.fuzzy_best_match(
+        df, df, l_id="id", l_text="s", r_id="id", r_text="s", exclude_self=True).collect()}
+    assert got == {(1, 2, 1.0), (2, 1, 1.0), (3, 1, round(1 - 1 / 14, 6)), (4, None, None), (5, None, None), (6, None, None)}
+    assert {r["ls"] for r in kept[5].collect()} == {"red apple pies", "", "green plum"}
