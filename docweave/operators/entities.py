@@ -18,6 +18,8 @@ from docweave.session import written
 LONGEST, LEAST, RATIO = 4, 3, 4.0
 _WORD = r"[\p{L}\p{N}]+"
 _GLUED = rf"{_WORD}(?: (?=[\p{{L}}\p{{N}}]))?"
+_CAPITAL = r"\p{Lu}[\p{L}\p{N}]*+"
+_RUN = rf"(?<![\p{{L}}\p{{N}}]){_CAPITAL}(?: {_CAPITAL})*"
 
 
 def _capital(word: Column) -> Column:
@@ -29,18 +31,21 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_GLUED), F.lit(0))
 
 
-def _grams(t: Column, n: int) -> Column:
-    """``(k, g)`` of the n-grams of glued capitalised words."""
-    starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    each = F.transform(starts, lambda i: F.slice(t, i, n))
-    good = F.filter(each, lambda g: F.forall(g, _capital) & F.forall(F.slice(g, 1, n - 1), lambda w: w.endswith(" ")))
-    return F.transform(good, lambda g: F.struct(F.lit(n).alias("k"), F.rtrim(F.array_join(g, "")).alias("g")))
+def runs(text: Column) -> Column:
+    """The longest runs of capitalised words between single blanks."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_RUN), F.lit(0))
+
+
+def _grams(w: Column, n: int) -> Column:
+    """``(k, g)`` of the n-grams of a run's words."""
+    starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(F.lit(n).alias("k"), F.array_join(F.slice(w, i, n), " ").alias("g")))
 
 
 def multiword_names(docs: DataFrame, text_col: str = "text", *, least: int = LEAST, ratio: float = RATIO) -> DataFrame:
     """``(name, n_words, n, ratio)``: the ratio is the smallest of the pairs
     in the name."""
-    words = docs.select(tokens(F.col(text_col)).alias("t"))
+    words = docs.select(F.explode(runs(F.col(text_col))).alias("run")).select(F.split("run", " ").alias("t"))
     grams = F.concat(*[_grams(F.col("t"), k) for k in range(1, LONGEST + 1)])
     counts = written(words.select(F.explode(grams).alias("x")).select("x.*").groupBy("k", "g").agg(F.count(F.lit(1)).alias("n")), "grams")
     one = counts.filter("k = 1")

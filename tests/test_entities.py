@@ -63,3 +63,10 @@ def test_names_and_tags_equal_a_plain_version(spark):
 
 def test_registered(spark, sf):
     assert all_queries()["named_entity_graph"](spark, sf).filter("src is null or dst is null").count() == 0
+
+
+def test_runs_hold_the_capitalised_words(spark):
+    texts = ["New York City is Big", "aNew York", "A  B C", "X-Ray Élan Vital", "3M Co 4U", "", None, "The_End Of It", "One Two\nThree"]
+    got = {r["t"]: r["r"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", EN.runs("t").alias("r")).collect()}
+    assert got == {"New York City is Big": ["New York City", "Big"], "aNew York": ["York"], "A  B C": ["A", "B C"], "X-Ray Élan Vital": ["X", "Ray Élan Vital"],
+                   "3M Co 4U": ["Co"], "": [], None: [], "The_End Of It": ["The", "End Of It"], "One Two\nThree": ["One Two", "Three"]}
