@@ -12,7 +12,7 @@ from docweave.operators import topics as TP
 from docweave.registry.html import _TP, table_pages
 from docweave.registry.text import keywords_sql
 from docweave.plans.parallel import spread
-from docweave.session import scratch_dir, table
+from docweave.session import scratch_dir, table, written
 
 
 def _pairs(spark, sf):
@@ -62,9 +62,10 @@ def _topic_keywords(spark, sf):
 
 
 def _lang_keywords(spark, sf):
+    """The distinct pairs, computed once: nodes and edges both read them."""
     docs = table(spark, sf, "documents")
-    return docs.select(F.col("lang").alias("topic"), tx.keyword_head(F.col("text"), 1).alias("keyword")) \
-        .filter(F.col("keyword") != "")
+    pairs = docs.select(F.col("lang").alias("topic"), tx.keyword_head(F.col("text"), 1).alias("keyword")).distinct()
+    return written(pairs, "lang_keywords").filter(F.col("keyword") != "")
 
 
 def q_topic_keyword_edges(spark, sf):

@@ -88,3 +88,16 @@ def test_knowledge_tree(spark):
     tree = {r.topic: r.children for r in TP.knowledge_tree(qs, "q", "content", k_max=2, restarts=2).collect()}
     assert sorted(c for cs in tree.values() for c in cs) == ["change", "export", "export", "plot"] or \
         set(c for cs in tree.values() for c in cs) == {"change", "export", "plot"}
+
+
+def test_lang_keywords_are_computed_once(spark, monkeypatch, tmp_path):
+    from docweave.registry import graph as RG
+
+    late = "the " * 150 + "late word"  # beyond the beginning that is looked at first
+    rows = [(1, "en", "Red roses"), (2, "en", "the red one"), (3, "de", late), (4, "de", ""), (5, None, "x"), (6, "fr", None), (7, "it", "a" * 900)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    kept, old = [], RG.written
+    monkeypatch.setattr(RG, "written", lambda df, name: kept.append(df) or old(df, name))
+    got = sorted(r["line"] for r in RG.q_lang_match_pattern(spark, str(tmp_path)).collect())
+    assert got == sorted(["red -[RELATED_TO]-> en", "late -[RELATED_TO]-> de", "a" * 900 + " -[RELATED_TO]-> it"])
+    assert len(kept) == 1
