@@ -108,3 +108,16 @@ def test_list_text_is_written_as_python_writes_it(spark):
     df = spark.createDataFrame([(items,), ([],), (["x'"],)], "items array<string>")
     got = [r[0] for r in df.select(_py_list_repr(F.col("items"))).collect()]
     assert got == [str(items), "[]", str(["x'"])]
+
+
+def test_a_task_holds_few_parsed_pages(spark, monkeypatch):
+    import pyarrow as pa
+
+    held = []
+    df = spark.createDataFrame([(1, "<p>x</p>")], "page_id long, html string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: held.append(run) or self)
+    H.parse_pages(df)
+    n = 3 * H.PAGES_AT_ONCE + 1
+    out = list(held[0](iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["<p>x</p>"] * n)], names=["page_id", "__html"])])))
+    assert [b.num_rows for b in out] == [H.PAGES_AT_ONCE] * 3 + [1]
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(n))
