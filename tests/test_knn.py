@@ -146,3 +146,16 @@ def test_odd_vectors_are_never_dropped_silently(spark):
     status = vector_status(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 2).collect()
     assert {(r.id, r.status) for r in status} == {(2, "null"), (3, "size"), (4, "not_finite")}
 
+
+
+def test_candidates_come_a_slice_of_queries_at_a_time(monkeypatch):
+    from docweave.plans import topk
+    monkeypatch.setattr(topk, "_SCORES", 300 * 10)
+    m = np.random.default_rng(5).normal(size=(300, 6))
+    ids = np.arange(300)
+    parts = list(topk._best_slices(m, ids, m, ids, 4, "l2", True))
+    assert len(parts) == 30 and all(len(p[0]) == 40 and isinstance(p[0], np.ndarray) for p in parts)
+    got = {}
+    for q, b in zip(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])):
+        got.setdefault(int(q), []).append(int(b))
+    assert got == _brute(dict(enumerate(m)), dict(enumerate(m)), 4, exclude_self=True)
