@@ -69,3 +69,27 @@ def test_a_cell_that_all_visit_is_split(spark, monkeypatch):
     cells = P.PivotCells(df, "q_id", "q_vec", 3, block=50)
     got = P.pivot_knn(df, cells, 2, exclude_self=True)
     assert {(r["q_id"], r["b_id"], r["rank"]) for r in got.collect()} == _plain(m, m, 2, True)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_blocks_where_no_cell_can_be_excluded(spark, monkeypatch, kind):
+    monkeypatch.setattr(P, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(P, "CELL_BLOCK", 60)
+    m = np.random.default_rng(3).normal(size=(400, 24)).astype(np.float32)
+    m[30:40] = m[30]
+    df = _frame(spark, m).withColumn("q_vec", F.col("q_vec").cast(f"array<{kind}>"))
+    cells = P.PivotCells(df, "q_id", "q_vec", 24)
+    assert cells.rows.schema["v"].dataType.elementType.simpleString() == kind
+    counts: list[int] = []
+    got = P.pivot_knn(df, cells, 3, exclude_self=True, counts=counts).collect()
+    assert counts[1] == 400 * 2  # rows of two blocks, not of some twenty cells
+    assert {(r["q_id"], r["b_id"], r["rank"]) for r in got} == _plain(m.astype(np.float64), m.astype(np.float64), 3, True)
+
+
+def test_a_query_is_shipped_to_its_cells_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(P, "SENT_BYTES", 8 * 8 * 16)
+    monkeypatch.setattr(P, "CELL_BLOCK", 1 << 20)
+    m = np.round(_clusters(np.random.default_rng(4), 300), 2)
+    df = _frame(spark, m)
+    got = P.pivot_knn(df, P.PivotCells(df, "q_id", "q_vec", 8, block=16), 5, exclude_self=True)
+    assert {(r["q_id"], r["b_id"], r["rank"]) for r in got.collect()} == _plain(m, m, 5, True)
