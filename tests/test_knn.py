@@ -159,3 +159,22 @@ def test_candidates_come_a_slice_of_queries_at_a_time(monkeypatch):
     for q, b in zip(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])):
         got.setdefault(int(q), []).append(int(b))
     assert got == _brute(dict(enumerate(m)), dict(enumerate(m)), 4, exclude_self=True)
+
+
+def test_each_pair_of_blocks_meets_once(spark, monkeypatch):
+    from docweave.operators.topics import connected_components
+    from docweave.plans import topk
+    monkeypatch.setattr(topk, "_SCORES", 64)
+    m = np.random.default_rng(6).normal(size=(120, 2)).astype(np.float32)
+    vs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<float>")
+    a, b = topk.block_pairs(vs.select("id"), 6)
+    assert a.count() + b.count() == 120 * 7  # not 120 * 12
+    assert a.filter("qb > bb").isEmpty() and b.filter("qb > bb").isEmpty()
+    edges = radius_components_edges(vs, 0.02, id_col="id", vec_col="v", block=20)
+    got = {r["id"]: r["comp"] for r in connected_components(vs.select("id"), edges).collect()}
+    w = m.astype(np.float64)
+    near = ((w[:, None] - w[None]) ** 2).sum(2) <= 0.02
+    comp = np.arange(120)
+    for _ in range(120):
+        comp = np.where(near, comp[None, :], 120).min(1)
+    assert got == dict(enumerate(comp.tolist())) and len(set(got.values())) < 120
