@@ -32,6 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,7 @@ from docweave.session import reliable_checkpoint
 ORDER = 4
 BITS = 12
 SHARD = 1 << 21
-KEPT = 1 << 21
+KEPT = 1 << 20  # n-grams that a counting task holds
 QUANTILE = 0.99
 MARGIN = 1.1
 SHRINK = 32
@@ -50,7 +51,7 @@ FOLDS = 5
 MAX_LANGUAGES = 30_000
 MAX_BROADCAST_IDS = 4_000_000
 BINS_PER_UNIT = 1000
-_CHUNK_CHARS = 1 << 20
+_CHUNK_CHARS = 1 << 18
 _U = np.uint64
 _SCORE = T.StructType([T.StructField("n", T.LongType()), T.StructField("logp", T.DoubleType())])
 
@@ -61,29 +62,36 @@ def _grams(texts: list[str], languages: list[int], order: int):
     pad = "\x02" * (order - 1)
     lengths = np.array([len(t) for t in texts])
     points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = np.where(points < 3072, points, 3072 + ((points * np.uint32(0x9E3779B1)) >> np.uint32(22))).astype(_U)
+    classes = points.copy()
+    high = np.flatnonzero(points >= 3072)
+    classes[high] = 3072 + ((points[high] * np.uint32(0x9E3779B1)) >> np.uint32(22))
     n = len(points) - order + 1
     keys = np.zeros(n, _U)
     for k in range(order):
-        keys = (keys << _U(BITS)) | classes[k:k + n]
+        keys <<= _U(BITS)
+        keys |= classes[k:k + n]
     # a position is a text's own unless its last character is padding
     own = np.ones(n, bool)
     ends = np.cumsum(lengths + order - 1) - (order - 1)
     for k in range(order - 1):
         at = ends[:-1] + k
         own[at] = False
-    keys = keys[own] | (np.repeat(np.array(languages, _U), lengths) << _U(BITS * order))
+    keys = keys[own]
+    keys |= np.repeat(np.array(languages, _U) << _U(BITS * order), lengths)
     return keys, lengths
 
 
 def _chunks(batch, language_of: dict, text_name="text"):
-    texts = [t or "" for t in batch.column(text_name).to_pylist()]
+    """Slices of a batch of about ``_CHUNK_CHARS`` characters; only the texts of one
+    are Python strings at a time."""
+    column = batch.column(text_name)
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
     langs = [language_of.get(x, 0) for x in batch.column("lang").to_pylist()]
     a = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= _CHUNK_CHARS or i + 1 == len(texts):
-            yield a, i + 1, texts[a:i + 1], langs[a:i + 1]
+    for i, n in enumerate(sizes):
+        held += int(n)
+        if held >= _CHUNK_CHARS or i + 1 == len(sizes):
+            yield a, i + 1, [t or "" for t in column.slice(a, i + 1 - a).to_pylist()], langs[a:i + 1]
             a, held = i + 1, 0
 
 
@@ -91,11 +99,11 @@ def _count(language_of: dict, pooled: bool, order: int, held_out: bool):
     """n-grams with their uses and trusted counts; with ``held_out`` only texts
     that aren't trusted use theirs."""
     def rows(held):
-        keys, counts, trusted = (np.concatenate(x) for x in zip(*held))
+        keys = np.concatenate([x[0] for x in held])
         order_ = np.argsort(keys, kind="stable")
-        keys, counts, trusted = keys[order_], counts[order_], trusted[order_]
+        keys = keys[order_]
         begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return keys[begin], np.add.reduceat(counts, begin), np.add.reduceat(trusted, begin)
+        return keys[begin], *(np.add.reduceat(np.concatenate([x[i] for x in held])[order_], begin) for i in (1, 2))
 
     def batch_of(part):
         return pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1]), pa.array(part[2])],
@@ -120,12 +128,12 @@ def _count(language_of: dict, pooled: bool, order: int, held_out: bool):
                         found, counts = np.unique(low, return_counts=True)
                         held.append((found, np.zeros_like(counts), counts))
                         size += len(found)
-            if size > KEPT:
-                held = [rows(held)]
-                size = len(held[0][0])
-                if size > KEPT // 2:
-                    yield batch_of(held[0])
-                    held, size = [], 0
+                if size > KEPT:
+                    held = [rows(held)]
+                    size = len(held[0][0])
+                    if size > KEPT // 2:
+                        yield batch_of(held[0])
+                        held, size = [], 0
         if held:
             yield batch_of(rows(held))
     return run
@@ -254,10 +262,13 @@ class Lookup:
         self.levels = []
         turn = 0
         while len(keys):
-            bits = max(4, int(2 * len(keys) - 1).bit_length())
+            bits = max(4, int(len(keys) - 1).bit_length())
             factor, shift = _U(pow(0x9E3779B97F4A7C15, 2 * turn + 1, 1 << 64)), _U(64 - bits)
             slot = (keys * factor) >> shift
-            taken, first = np.unique(slot, return_index=True)
+            owner = np.full(1 << bits, -1, np.int32)
+            owner[slot[::-1]] = np.arange(len(keys) - 1, -1, -1, dtype=np.int32)  # the first key of a slot stays
+            taken = np.flatnonzero(owner >= 0)
+            first = owner[taken]
             k, v = np.full(1 << bits, ~_U(0)), np.zeros(1 << bits, np.float32)
             k[taken], v[taken] = keys[first], values[first]
             self.levels.append((factor, shift, k, v))
