@@ -25,8 +25,11 @@ from docweave.session import written
 # Thresholds of the published method.
 ABBREVIATION, STARTER, COLLOCATION, STOP_SHARE = 0.3, 30.0, 7.88, 0.99
 
-_TOKEN = re.compile(r"\S+")
 _OPEN, _CLOSE = "\"'`([{<«“‘¿¡", "\"'`)]}>»”’,;:"
+_DIGITS = re.compile(r"\d+")
+_LAST = frozenset(".?!" + _CLOSE)
+# a word that a single or last full stop may belong to, and the word after it
+_STOP = re.compile(rf"(?<!\S)(\S*\.[{re.escape(_CLOSE)}]*+)\s+(?=(\S+))")
 _FLUSH = 1 << 17
 
 
@@ -40,22 +43,48 @@ def parsed(token: str) -> tuple[str, str, bool, bool]:
     plain = core.rstrip(".?!")
     first = plain[:1]
     case = "U" if first.isupper() else "L" if first.islower() else "-"
-    return re.sub(r"\d+", "0", plain.lower()), case, stop, end
-
-
-def counts_of(text: str, into: Counter) -> None:
-    """Adds ``(kind, type, next, case)``: ``w`` words without and ``s`` with a
-    stop, ``m`` words inside a sentence by case, ``p`` pairs across a stop."""
-    before = None
-    for m in _TOKEN.finditer(text):
-        kind, case, stop, end = parsed(m.group())
-        into["s" if stop else "w", kind, "", ""] += 1
-        if before is not None:
-            if before[1]:
-                into["p", before[0], kind, case] += 1
-            elif not before[2]:
-                into["m", kind, "", case] += 1
-        before = (kind, stop, end)
+    kind = plain.lower()
+    return kind if kind.isalpha() else _DIGITS.sub("0", kind), case, stop, end
+
+
+class Counts:
+    """Counts of ``(kind, type, next, case)``: ``w`` words without and ``s``
+    with a stop, ``m`` words inside a sentence by case, ``p`` pairs across a
+    stop. Words are counted as they stand and parsed once each in ``rows``."""
+
+    def __init__(self):
+        self.words: Counter = Counter()
+        self.opening: Counter = Counter()  # words that no word of the same sentence precedes
+        self.pairs: Counter = Counter()
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.pairs)
+
+    def add(self, text: str) -> None:
+        words = text.split()
+        self.words.update(words)
+        self.opening.update(words[:1])
+        for word, following in zip(words, words[1:]):
+            if word[-1] in _LAST:
+                mark = word.rstrip(_CLOSE)[-1:]
+                if mark and mark in ".?!":
+                    self.opening[following] += 1
+                    if mark == ".":
+                        self.pairs[word, following] += 1
+
+    def rows(self) -> Counter:
+        out: Counter = Counter()
+        found = {word: parsed(word) for word in self.words}
+        for word, n in self.words.items():
+            kind, case, stop, _ = found[word]
+            out["s" if stop else "w", kind, "", ""] += n
+            if inside := n - self.opening[word]:
+                out["m", kind, "", case] += inside
+        for (word, following), n in self.pairs.items():
+            kind, case, _, _ = found[following]
+            if found[word][2]:
+                out["p", found[word][0], kind, case] += n
+        return out
 
 
 _COUNTS = "kind string, type string, next string, case string, n long"
@@ -64,20 +93,20 @@ _COUNTS = "kind string, type string, next string, case string, n long"
 def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """The summed counts; each task adds up what it has seen first."""
     def run(batches):
-        held: Counter = Counter()
+        held = Counts()
 
-        def flush():
-            keys = list(held)
-            yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in keys], pa.string()) for i in range(4)],
-                                              pa.array([held[k] for k in keys], pa.int64())], names=["kind", "type", "next", "case", "n"])
-            held.clear()
+        def batch_of(found):
+            keys = list(found)
+            return pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in keys], pa.string()) for i in range(4)],
+                                               pa.array([found[k] for k in keys], pa.int64())], names=["kind", "type", "next", "case", "n"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                counts_of(t or "", held)
+                held.add(t or "")
                 if len(held) > _FLUSH:
-                    yield from flush()
-        yield from flush()
+                    yield batch_of(held.rows())
+                    held = Counts()
+        yield batch_of(held.rows())
 
     each = docs.select(F.col(text_col).alias("t")).mapInArrow(run, _COUNTS)
     return written(each.groupBy("kind", "type", "next", "case").agg(F.sum("n").alias("n")), "sentences")
@@ -163,16 +192,14 @@ def with_inner_stops(df: DataFrame, model: DataFrame, text_col: str = "text", ou
         for batch in batches:
             rows, at, parts = [], [], ([], [], [])
             for r, t in enumerate(batch.column("t").to_pylist()):
-                before = None
-                for m in _TOKEN.finditer(t or ""):
-                    if before is not None and before[1]:
-                        kind, case, _, _ = parsed(m.group())
+                for m in _STOP.finditer(t or ""):
+                    word, following = m.groups()
+                    kind, _, stop, _ = parsed(word)
+                    if stop:
                         rows.append(r)
-                        at.append(m.start())
-                        for c, v in zip(parts, (before[0], kind, case)):
+                        at.append(m.end())
+                        for c, v in zip(parts, (kind, *parsed(following)[:2])):
                             c.append(v)
-                    got = parsed(m.group()) if m.group().rstrip(_CLOSE).endswith(".") else None
-                    before = (got[0], got[2]) if got else None
             yield pa.RecordBatch.from_arrays([batch.column("__text").take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()),
                                               *[pa.array(c, pa.string()) for c in parts]], names=["__text", "at", "type", "next", "case"])
 
