@@ -46,9 +46,12 @@ def q_stream_append_log(spark, sf):
 
 def q_stream_corpus_refresh(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "html")
-    src = _stage(pages, 3)
+    # three micro-batches of several files each: one file would be read, and its
+    # pages dealt out, by one task
+    files = max(spark.sparkContext.defaultParallelism, -(-pages.rdd.getNumPartitions() // 3))
+    src = _stage(pages, 3 * files)
     store = scratch_dir(spark, "vector_store")
-    S.stream_corpus_refresh(spark, src, "page_id long, html string", store, store + "_ckpt")
+    S.stream_corpus_refresh(spark, src, "page_id long, html string", store, store + "_ckpt", files)
     return spark.read.parquet(store).select("content_hash", F.size("embedding").alias("dim"))
 
 

@@ -88,12 +88,16 @@ def hashing_embedder(text_col: str = "chunk", dim: int = 512):
     return embed
 
 
-def page_chunk_vectors(pages: DataFrame, size: int = 500) -> DataFrame:
-    """pages -> paragraphs -> normalised text -> fixed chunks -> vectors."""
+def page_chunks(pages: DataFrame, size: int = 500) -> DataFrame:
+    """pages -> paragraphs -> normalised text -> fixed chunks."""
     parsed = H.parse_pages(pages.select("page_id", "html"), body_only=True)
     docs = parsed.select("page_id", tx.normalize_whitespace(H.paragraphs(F.col("paras"))).alias("text"))
-    chunks = C.chunk_fixed(docs, "text", size).withColumn("chunk_id", F.xxhash64("page_id", "chunk_no"))
-    return hashing_embedder("chunk")(chunks)
+    return C.chunk_fixed(docs, "text", size).withColumn("chunk_id", F.xxhash64("page_id", "chunk_no"))
+
+
+def page_chunk_vectors(pages: DataFrame, size: int = 500) -> DataFrame:
+    """``page_chunks`` with their vectors."""
+    return hashing_embedder("chunk")(page_chunks(pages, size))
 
 
 def stream_corpus_refresh(spark: SparkSession, pages_dir: str, pages_schema: str, store: str,
@@ -104,8 +108,7 @@ def stream_corpus_refresh(spark: SparkSession, pages_dir: str, pages_schema: str
               .parquet(pages_dir))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        vecs = page_chunk_vectors(batch)
-        SNK.vector_store_write(batch.sparkSession, vecs, store, "chunk", "chunk_id")
+        SNK.vector_store_write(batch.sparkSession, page_chunks(batch), store, "chunk", "chunk_id", embed=hashing_embedder("chunk"))
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
