@@ -57,7 +57,7 @@ def q_graph_to_text(spark, sf):
 
 def _topic_keywords(spark, sf):
     """Top words of the topics fitted to all documents."""
-    words = TP.lda_topics(table(spark, sf, "documents"), "text", 5, 10, 42, 10)
+    words = TP.lda_topics(spread(table(spark, sf, "documents").select("doc_id", "text")), "text", 5, 10, 42, 10)
     return words.select(F.concat(F.lit("Topic_"), F.col("topic").cast("string")).alias("topic"), F.col("term").alias("keyword"))
 
 
